@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zlib
 
 import numpy as np
@@ -84,38 +85,74 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 class Bloom:
-    """A Bloom filter of fixed size over 64-bit hashes; false positives only."""
+    """A Bloom filter of fixed size over well-mixed 64-bit hashes: false positives only.
 
-    BLOCK = 16  # bits of a block's address
+    Its size doesn't follow the data: past its capacity it lets more rows through, which
+    costs work and never results, for an exact step always follows.
+    """
 
-    def __init__(self, bits: int, probes: int, data: np.ndarray):
-        self.bits, self.probes, self.data = bits, probes, data
+    BLOCK = 16  # bits of an address within a block
+
+    def __init__(self, bits: int, data: np.ndarray):
+        self.bits, self.data = bits, data
 
     @staticmethod
-    def build(df: DataFrame, column: str, bits: int = 26, probes: int = 2) -> Bloom:
-        """Blocks of 2**16 bits are built on executors; the driver gets 2**bits bits at most."""
-        block = Bloom.BLOCK
-        at = [F.shiftrightunsigned(F.xxhash64(F.col(column), F.lit(i)), 64 - bits) for i in range(probes)]
-
-        def fill(frames):
-            for batch in frames:
-                for d in [batch.to_pydict()]:
-                    out = []
-                    for slots in d["slots"]:
-                        flags = np.zeros(1 << block, np.uint8)
-                        flags[np.asarray(slots, np.int64)] = 1
-                        out.append(np.packbits(flags).tobytes())
-                    yield pa.RecordBatch.from_pydict({"block": d["block"], "data": out})
+    def build(hashes: DataFrame, column: str, bits: int = 26) -> Bloom:
+        """Blocks of 2**16 bits are made on executors; the driver gets 2**bits bits at most."""
+        at = [F.shiftrightunsigned(column, 64 - bits), F.shiftrightunsigned(column, 4).bitwiseAND((1 << bits) - 1)]
+        low = (1 << Bloom.BLOCK) - 1
+
+        def fill(batches):
+            for batch in batches:
+                out = []
+                for slots in batch.column(1).to_pylist():
+                    flags = np.zeros(low + 1, np.uint8)
+                    flags[np.asarray(slots, np.int64)] = 1
+                    out.append(np.packbits(flags).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["block", "data"])
 
         rows = (
-            df.select(F.explode(F.array(*at)).alias("at")).distinct()
-            .groupBy(F.shiftrightunsigned("at", block).alias("block"))
-            .agg(F.collect_list(F.col("at").bitwiseAND((1 << block) - 1).cast("int")).alias("slots"))
+            hashes.select(F.explode(F.array(*at)).alias("at"))
+            .groupBy(F.shiftrightunsigned("at", Bloom.BLOCK).alias("block"))
+            .agg(F.collect_set(F.col("at").bitwiseAND(low).cast("int")).alias("slots"))  # 2**16 at most
             .mapInArrow(fill, "block long, data binary")
             .collect()
         )
-        data = np.zeros(1 << (bits - 3), np.uint8)
-        size = 1 << (block - 3)
+        data, size = np.zeros(1 << (bits - 3), np.uint8), 1 << (Bloom.BLOCK - 3)
         for r in rows:
             data[r["block"] * size : (r["block"] + 1) * size] = np.frombuffer(bytes(r["data"]), np.uint8)
-        return Bloom(bits, probes, data)
+        return Bloom(bits, data)
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        h = h.view(np.uint64)
+        out = np.ones(len(h), bool)
+        for a in (h >> np.uint64(64 - self.bits), (h >> np.uint64(4)) & np.uint64((1 << self.bits) - 1)):
+            out &= ((self.data[a >> np.uint64(3)] >> (7 - (a & np.uint64(7))).astype(np.uint8)) & 1).astype(bool)
+        return out
+
+    def keep(self, df: DataFrame, column: str, inside: bool = True) -> DataFrame:
+        """The rows of df whose value may be in the filter (or, not inside, surely isn't); nothing is shuffled.
+
+        The filter must have been built over xxhash64 of the values.
+        """
+        held, names, bits = df.sparkSession.sparkContext.broadcast(self.data), df.columns, self.bits
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+        def run(batches):
+            bloom = Bloom(bits, held.value)
+            for batch in batches:
+                has = bloom.has(batch.column(len(names)).to_numpy(zero_copy_only=False))
+                kept = batch.select(names).filter(pa.array(has if inside else ~has))
+                if kept.num_rows:
+                    yield kept
+
+        return df.select("*", F.xxhash64(column).alias("__hash")).mapInArrow(run, fields)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Like durable(), as compressed columns: for tables of many rows."""
+    spark = df.sparkSession
+    shared(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
