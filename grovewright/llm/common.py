@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 import zlib
@@ -9,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +68,22 @@ def crc(data: bytes) -> int:
     return zlib.crc32(data)
 
 
+class Shared:
+    """A broadcast value whose classes travel with it; unpacked once a task."""
+
+    def __init__(self, spark: SparkSession, value):
+        self.packed, self.got = spark.sparkContext.broadcast(cloudpickle.dumps(value)), None
+
+    def __getstate__(self):
+        return {"packed": self.packed, "got": None}
+
+    @property
+    def value(self):
+        if self.got is None:
+            self.got = pickle.loads(self.packed.value)
+        return self.got
+
+
 def shared(spark: SparkSession) -> None:
     """Make sure checkpoint() has its folder: the one of the session, or a temporary one if all runs on this machine."""
     sc = spark.sparkContext

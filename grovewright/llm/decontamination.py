@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE, WordHash, ngrams, raw
+from .common import CACHE, Shared, WordHash, ngrams, raw
 
 N = 3
 RARE = 12
@@ -153,7 +153,7 @@ def blocks(benchmark: DataFrame, id_column: str, text_column: str):
 
 def frequencies(docs: DataFrame, items: Items) -> np.ndarray:
     """In how many documents each n-gram of the items occurs; each task counts before anything is moved."""
-    held = docs.sparkSession.sparkContext.broadcast(items)
+    held = Shared(docs.sparkSession, items)
 
     def run(batches):
         hashed, items = PlainHash(), held.value
@@ -182,7 +182,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", te
     out = docs.withColumn("items", F.array().cast(found_type))
     for items in blocks(benchmark, item_column, "text"):
         items.choose(frequencies(docs, items))
-        held = spark.sparkContext.broadcast(items)
+        held = Shared(spark, items)
 
         def run(batches, held=held):
             hashed, items = PlainHash(), held.value

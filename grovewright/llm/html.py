@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Shared
+
 # Element names by the HTML standard.
 RAW = {"script", "style", "textarea", "noscript", "template", "iframe", "svg", "title"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -204,7 +206,7 @@ def learn(pages: DataFrame, html_column: str = "html") -> Weights:
 def extract(pages: DataFrame, weights: Weights | None = None, html_column: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns kept, text and n_chars."""
     weights = learn(pages, html_column) if weights is None else weights
-    held = pages.sparkSession.sparkContext.broadcast(weights)  # some hundreds of numbers
+    held = Shared(pages.sparkSession, weights)  # some hundreds of numbers
     fields = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches):

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE, WordHash, fold, ngrams, raw
+from .common import CACHE, Shared, WordHash, fold, ngrams, raw
 
 BITS = 18
 FIT_ROWS = 8_000
@@ -147,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, column: str =
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     """docs with score and predicted; no shuffle. A column of docs with such a name is replaced."""
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(model)  # 2 MB, whatever the data
+    held = Shared(spark, model)  # 2 MB, whatever the data
     docs = docs.drop("score", "predicted")
     at = docs.columns.index("text")
 

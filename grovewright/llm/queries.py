@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html, licenses, minhash, nbsvm, packing, rules, sharding, substrings
+from . import decontamination, html, licenses, lm, minhash, nbsvm, packing, rules, sharding, substrings
 from .common import fold
 
 
@@ -45,6 +45,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digests(table(spark, sf_dir, "documents"), packing.tokenizer_path()).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score_corpus(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.digests(table(spark, sf_dir, "documents"), least=20)
 
@@ -54,5 +59,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_classifier, op3_license_scan, op4_benchmark_decontamination, op5_html_extraction, op6_quality_rules, op7_best_fit_packing, op9_substring_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_quality_classifier, op3_license_scan, op4_benchmark_decontamination, op5_html_extraction, op6_quality_rules, op7_best_fit_packing, op8_lm_scoring, op9_substring_dedup, op10_sharding)}
 ORACLE_SQL = {"op3_license_scan": licenses.sql()}
