@@ -171,17 +171,18 @@ def frequencies(docs: DataFrame, items: Items) -> np.ndarray:
     return out
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id") -> DataFrame:
-    """Per row: doc_id, items (array of item, score, first and last + 1 word), score; by blocks of items."""
+def matches(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id") -> DataFrame:
+    """docs with __items (array of item, score, first and last + 1 word) and __score; by blocks of items, without a shuffle."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema[item_column].dataType.simpleString()
-    found_type = f"array<struct<item_id:{item_kind},score:double,first:long,last:long>>"
+    columns, at = docs.columns, docs.columns.index(text_column)
+    item_kind = benchmark.schema[item_column].dataType.simpleString()
+    found_type = f"array<struct<item_id:{item_kind},score:double,first:bigint,last:bigint>>"
     item_type = {"bigint": pa.int64(), "int": pa.int32()}.get(item_kind, pa.string())
     found_arrow = pa.list_(pa.struct([("item_id", item_type), ("score", pa.float64()), ("first", pa.int64()), ("last", pa.int64())]))
-    out = docs.withColumn("items", F.array().cast(found_type))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    out = docs.withColumn("__items", F.array().cast(found_type))
     for items in blocks(benchmark, item_column, "text"):
-        items.choose(frequencies(docs, items))
+        items.choose(frequencies(docs.select(F.col(text_column).alias("text")), items))
         held = Shared(spark, items)
 
         def run(batches, held=held):
@@ -190,17 +191,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", te
                 for lo in range(0, batch.num_rows, 512):
                     part = batch.slice(lo, 512)
                     found = []
-                    for t, before in zip(raw(part.column(1)), part.column(2).to_pylist()):
+                    for t, before in zip(raw(part.column(at)), part.column(len(columns)).to_pylist()):
                         best = ((items.ids[k], s, x, y) for k, s, x, y in items.best(hashed.of((t or b"").split())) if s >= SHARE / 2)
                         found.append(before + [{"item_id": i, "score": s, "first": x, "last": y} for i, s, x, y in sorted(best, key=lambda b: (-b[1], b[0]))])
-                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, found_arrow)], names=["doc_id", "text", "items"])
+                    yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(found, found_arrow)], names=part.schema.names)
 
-        out = out.mapInArrow(run, f"doc_id {kind}, text string, items {found_type}")
-    return out.withColumn("score", F.coalesce(F.array_max(F.transform("items", lambda x: x["score"])), F.lit(0.0)))
+        out = out.mapInArrow(run, f"{fields}, `__items` {found_type}")
+    return out.withColumn("__score", F.coalesce(F.array_max(F.transform("__items", lambda x: x["score"])), F.lit(0.0)))
 
 
 def flag(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
     """Per row: doc_id, contaminated, score, item_ids (those at or above share)."""
-    found = matches(docs, benchmark)
-    items = F.transform(F.filter("items", lambda x: x["score"] >= share), lambda x: x["item_id"])
-    return found.select("doc_id", (F.col("score") >= share).alias("contaminated"), "score", items.alias("item_ids"))
+    found = matches(docs.select("doc_id", "text"), benchmark)
+    items = F.transform(F.filter("__items", lambda x: x["score"] >= share), lambda x: x["item_id"])
+    return found.select("doc_id", (F.col("__score") >= share).alias("contaminated"), F.col("__score").alias("score"), items.alias("item_ids"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, share: float = SHARE) -> DataFrame:
+    """docs without the contaminated rows."""
+    return matches(docs, benchmark).where(F.col("__score") < share).drop("__items", "__score")

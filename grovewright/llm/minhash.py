@@ -172,3 +172,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: s
     out = sketch.drop("bands").join(named, "key", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each group. Only rows that a filter on ids picks out are shuffled; the rest pass through."""
+    found = durable(near_duplicates(docs, k, percent).select("doc_id", "kept"))
+    gone = found.where("NOT kept").select("doc_id").distinct()
+    again = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    bloom = Bloom.build(gone.union(again).select(F.xxhash64("doc_id").alias("h")), "h")
+    maybe = bloom.keep(docs, "doc_id")
+    left = maybe.where("doc_id IS NOT NULL").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
+    return bloom.keep(docs, "doc_id", inside=False).unionByName(left).unionByName(maybe.where("doc_id IS NULL"))
