@@ -173,4 +173,13 @@ def stored(df: DataFrame) -> DataFrame:
     shared(spark)
     path = f"{spark.sparkContext.getCheckpointDir()}/stage-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stage_path = path
+    return out
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a stored() table that nothing reads any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(table.stage_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

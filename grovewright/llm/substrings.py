@@ -4,20 +4,22 @@ A word goes if a window of `least` words covers it whose sequence also starts ea
 Streaming every document past the automata of all shards would cost documents times
 shards, so two linear passes first find which shard can hold a document's spans:
 
+0. Texts equal to an earlier one, by a hash of the whole text, go whole and are set aside.
 1. Every window of `least` words has a winnowing anchor (its least K-gram hash), and equal
    windows have equal anchors. A count of anchors, summed before the shuffle, shows those
    that occur twice; they go into a Bloom filter of fixed size.
 2. Windows with such an anchor are hashed; of equal windows in a batch only the first is
-   shuffled, and the least position of each hash becomes the source of all others.
-   Neighbouring windows with neighbouring sources are one run.
-3. The texts of the sources form reference shards of about SHARD_WORDS words. For each, a
-   suffix automaton with first positions is built, and the runs that point into it are
-   streamed for matching statistics: a span is removed where the automaton matches at
-   least `least` words at an earlier position. A shard that many runs point into is
-   broadcast to as many tasks as its load asks for.
-
-Only spans that an automaton has confirmed are removed, so a clash of hashes removes
-nothing. Null, empty and short texts keep all words. Rows with a null id are left as they
+   shuffled, so a hot passage brings one row a batch. The least position of each hash
+   becomes the source of all others; neighbours with neighbouring sources are one run.
+3. The texts of the sources form reference shards. Sources that repeat one another share a
+   shard, unless it would get too large. For each shard, a suffix automaton with first
+   positions is built, and the pieces of documents whose runs point into it are streamed
+   for matching statistics: a span is removed where the automaton matches at least
+   `least` words at an earlier position. A shard that many pieces point into is broadcast
+   to as many tasks as its load asks for.
+
+Within texts, only spans that an automaton has confirmed are removed, so a clash of window
+hashes removes nothing. Null, empty and short texts keep all words. Rows with a null id are left as they
 are; rows that repeat an id are each cut as their id says (texts of one id are taken to be
 equal). Extra columns pass through. An empty table gives an empty result.
 """
@@ -31,14 +33,16 @@ import re
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Bloom, WordHash, durable, ngrams, raw, stored
+from .common import Bloom, WordHash, discard, durable, ngrams, raw, stored
 
 BITS = 27  # of the filter of anchors: 16 MB
 SHARD_WORDS = 40_000
 LOAD_WORDS = 400_000
+SLICE = 2500  # documents of which equal windows are found before the shuffle
+SPANS = "array<struct<first:bigint,last:bigint>>"
 WORD = re.compile(rb"[^ \t\n\x0b\x0c\r]+")
 
 
@@ -55,7 +59,7 @@ def anchors(h: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
 def repeated_anchors(docs: DataFrame, least: int) -> DataFrame:
     def run(batches):
         hashed = WordHash()
-        for batch in batches:
+        for batch in (b.slice(lo, SLICE) for b in batches for lo in range(0, b.num_rows, SLICE)):
             found = [np.zeros(0, np.uint64)]
             for t in raw(batch.column(0)):
                 g, at = anchors(hashed.of((t or b"").split()), least)
@@ -72,7 +76,7 @@ def windows(docs: DataFrame, bloom: Bloom, least: int) -> DataFrame:
 
     def run(batches):
         hashed, bloom = WordHash(), Bloom(bits, held.value)
-        for batch in batches:
+        for batch in (b.slice(lo, SLICE) for b in batches for lo in range(0, b.num_rows, SLICE)):
             hs, ds, ss = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for d, t in zip(batch.column(0).to_pylist(), raw(batch.column(1))):
                 h = hashed.of((t or b"").split())
@@ -102,16 +106,21 @@ def runs(found: DataFrame, least: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            out = []
-            for d, ws in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                a = np.array(sorted({(w["start"], w["src"], w["src_start"]) for w in ws}), np.int64)
-                new = np.ones(len(a), bool)
-                new[1:] = (a[1:, 0] != a[:-1, 0] + 1) | (a[1:, 1] != a[:-1, 1]) | (a[1:, 2] != a[:-1, 2] + 1)
-                at = np.flatnonzero(new)
-                size = np.diff(np.append(at, len(a))) + least - 1
-                out.append(np.column_stack([np.full(len(at), d), a[at, 0], size, a[at, 1], a[at, 2]]))
-            rows = np.concatenate([np.zeros((0, 5), np.int64), *out])
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, i].copy()) for i in range(5)], names=["doc_id", "start", "length", "src", "src_start"])
+            lists = batch.column(1)
+            flat = lists.flatten()
+            size = np.diff(lists.offsets.to_numpy())
+            ids = np.repeat(batch.column(0).to_numpy(), size)
+            start, src, at = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+            order = np.lexsort((at, src, start, ids))
+            ids, start, src, at = ids[order], start[order], src[order], at[order]
+            one = np.ones(len(ids), bool)  # of several sources of a window (from rows that repeat), the first
+            one[1:] = (ids[1:] != ids[:-1]) | (start[1:] != start[:-1])
+            ids, start, src, at = ids[one], start[one], src[one], at[one]
+            new = np.ones(len(ids), bool)
+            new[1:] = (ids[1:] != ids[:-1]) | (start[1:] != start[:-1] + 1) | (src[1:] != src[:-1]) | (at[1:] != at[:-1] + 1)
+            head = np.flatnonzero(new)
+            length = np.diff(np.append(head, len(ids))) + least - 1
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[head], start[head], length, src[head], at[head])], names=["doc_id", "start", "length", "src", "src_start"])
 
     # a document's windows, never more than its words
     by = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "src", "src_start")).alias("ws"))
@@ -179,15 +188,22 @@ class Automaton:
 
 def confirm(docs: DataFrame, found: DataFrame, least: int) -> DataFrame:
     """(doc_id, spans: array of first and last + 1 word) as the automata of the reference shards say."""
-    spark = docs.sparkSession
     size = found.agg(F.sum("length").alias("n")).first()["n"] or 0
     shards = max(1, -(-size // (4 * SHARD_WORDS)))
-    shard = F.pmod(F.xxhash64("src"), F.lit(shards))
-    load = found.groupBy(shard.alias("shard")).agg(F.sum("length").alias("n")).withColumn("salts", F.ceil(F.col("n") / LOAD_WORDS).cast("long")).drop("n")
-    asked = found.withColumn("shard", shard).join(load, "shard").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")))
-    pieces = asked.select("doc_id", F.struct(F.lit(0).alias("reference"), "shard", "salt", "start", "length"))
-    refs = found.select(F.col("src").alias("doc_id"), F.col("src_start").alias("start"), "length").distinct().withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards))).join(load, "shard")
-    refs = refs.select("doc_id", F.struct(F.lit(1).alias("reference"), "shard", F.col("salts").alias("salt"), "start", "length"))
+    # a source's own main source, a few steps up, gathers what repeats one another
+    up = found.groupBy("doc_id", "src").agg(F.sum("length").alias("n")).groupBy("doc_id").agg(F.max_by("src", F.struct("n", "src")).alias("up"))
+    up = durable(up.withColumnRenamed("doc_id", "root"))
+    roots = found.select("src", F.col("src").alias("root")).distinct()
+    for _ in range(3):
+        roots = roots.join(up, "root", "left").select("src", F.coalesce("up", "root").alias("root"))
+    roots = durable(roots.withColumn("shard", F.pmod(F.xxhash64("root"), F.lit(shards))).drop("root"))
+    found = found.join(roots, "src")
+    loads = found.groupBy("shard").agg(F.sum("length").alias("n")).select("shard", F.greatest(F.lit(1), F.ceil(F.col("n") / (16 * SHARD_WORDS))).cast("long").alias("splits"))
+    found = found.join(loads, "shard").withColumn("split", F.pmod(F.xxhash64("src"), F.col("splits"))).drop("splits")
+    load = found.groupBy("shard", "split").agg(F.greatest(F.lit(1), F.ceil(F.sum("length") / LOAD_WORDS)).cast("long").alias("salts"))
+    found = stored(found.join(load, ["shard", "split"]).withColumn("key", F.col("shard") * 65536 + F.col("split")).drop("shard", "split"))
+    pieces = found.select("doc_id", F.struct(F.lit(0).alias("reference"), "key", F.pmod(F.xxhash64("doc_id"), F.col("salts")).alias("salt"), "start", "length"))
+    refs = found.select(F.col("src").alias("doc_id"), F.struct(F.lit(1).alias("reference"), "key", F.col("salts").alias("salt"), F.col("src_start").alias("start"), "length")).distinct()
     wanted = pieces.union(refs).toDF("doc_id", "p").groupBy("doc_id").agg(F.collect_list("p").alias("ps"))
     wanted = durable(wanted)
     ids = wanted.select(F.xxhash64("doc_id").alias("h"))
@@ -197,18 +213,13 @@ def confirm(docs: DataFrame, found: DataFrame, least: int) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
-                out: dict = {k: [] for k in ("shard", "salt", "reference", "doc_id", "start", "words")}
+                out: dict = {k: [] for k in ("key", "salt", "reference", "doc_id", "start", "words")}
                 for d, t, ps in zip(part.column(0).to_pylist(), raw(part.column(1)), part.column(2).to_pylist()):
                     words = (t or b"").split()
                     spans: dict = {}
                     for p in ps:
-                        if p["reference"]:
-                            spans.setdefault((p["shard"], p["salt"]), []).append((p["start"], p["start"] + p["length"]))
-                        else:
-                            row = (p["shard"], p["salt"], False, d, p["start"], b" ".join(words[p["start"] : p["start"] + p["length"]]))
-                            for k, v in zip(out, row):
-                                out[k].append(v)
-                    for (s, salts), each in spans.items():
+                        spans.setdefault((p["key"], p["salt"], p["reference"]), []).append((p["start"], p["start"] + p["length"]))
+                    for (key, salt, reference), each in spans.items():
                         each.sort()
                         joined = [list(each[0])]
                         for a, b in each[1:]:  # spans that touch are one text
@@ -218,13 +229,13 @@ def confirm(docs: DataFrame, found: DataFrame, least: int) -> DataFrame:
                                 joined.append([a, b])
                         for a, b in joined:
                             text = b" ".join(words[a:b])
-                            for salt in range(salts):
-                                for k, v in zip(out, (s, salt, True, d, a, text)):
+                            for one in range(salt) if reference else (salt,):
+                                for k, v in zip(out, (key, one, bool(reference), d, a, text)):
                                     out[k].append(v)
                 kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
 
-    cutted = texts.select("doc_id", "text", "ps").mapInArrow(cut, "shard long, salt long, reference boolean, doc_id long, start long, words binary")
+    cutted = texts.select("doc_id", "text", "ps").mapInArrow(cut, "key long, salt long, reference boolean, doc_id long, start long, words binary")
 
     def shard_task(t: pa.Table) -> pa.Table:
         cols = [t.column(c).to_pylist() for c in ("reference", "doc_id", "start", "words")]
@@ -255,21 +266,28 @@ def confirm(docs: DataFrame, found: DataFrame, least: int) -> DataFrame:
                 ids.append(d), lo.append(span[0]), hi.append(span[1])
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "first": pa.array(lo, pa.int64()), "last": pa.array(hi, pa.int64())})
 
-    spans = cutted.groupBy("shard", "salt").applyInArrow(shard_task, "doc_id long, first long, last long")
+    spans = cutted.groupBy("key", "salt").applyInArrow(shard_task, "doc_id long, first long, last long")
     return durable(spans.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("spans")))
 
 
 def repeated_spans(docs: DataFrame, least: int = 20) -> DataFrame:
-    """(doc_id, spans) for the documents that repeat something earlier."""
-    docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), "text")
+    """(doc_id, spans) for the documents, of texts that all differ, that repeat something earlier."""
     bloom = Bloom.build(repeated_anchors(docs, least), "h", BITS)
     rows = stored(windows(docs, bloom, least))
-    heads = rows.where("src IS NULL")
-    firsts = heads.groupBy("h").agg(F.min(F.struct("doc_id", "start")).alias("f"), F.count("*").alias("n")).where("n > 1").select("h", "f")
-    later = heads.drop("src", "src_start").join(firsts, "h").where(F.struct("doc_id", "start") > F.col("f"))
-    found = later.select("doc_id", "start", F.col("f.doc_id").alias("src"), F.col("f.start").alias("src_start"))
-    found = found.union(rows.where("src IS NOT NULL").select("doc_id", "start", "src", "src_start"))
-    return confirm(docs, stored(runs(found, least)), least)
+    order = Window.partitionBy("h").orderBy("doc_id", "start")  # a row a batch at most
+    heads = rows.where("src IS NULL").select("h", "doc_id", "start", F.first("doc_id").over(order).alias("src"), F.first("start").over(order).alias("src_start"))
+    found = heads.where("doc_id != src OR start != src_start").drop("h").union(rows.where("src IS NOT NULL").drop("h"))
+    each = stored(runs(found, least))
+    discard(rows)
+    return confirm(docs, each, least)
+
+
+def copies(docs: DataFrame, least: int) -> DataFrame:
+    """Ids whose text is that of a smaller id, and may be long enough to hold a window."""
+    keyed = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= 2 * least - 1)).select("doc_id", F.unhex(F.md5("text")).alias("key"))
+    keyed = durable(keyed)
+    first = keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return durable(keyed.join(first, "key").where("doc_id > first").select("doc_id").distinct())
 
 
 def covered(n: int, spans: list) -> np.ndarray:
@@ -281,11 +299,21 @@ def covered(n: int, spans: list) -> np.ndarray:
 
 
 def with_spans(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """(documents that may have spans, with them; the others), by a filter on ids: only the former are shuffled."""
-    spans = repeated_spans(docs, least)
-    bloom = Bloom.build(spans.select(F.xxhash64("doc_id").alias("h")), "h")
-    maybe = bloom.keep(docs, "doc_id").join(spans.withColumnRenamed("doc_id", "__id"), F.col("doc_id") == F.col("__id"), "left").drop("__id")
-    return maybe, bloom.keep(docs, "doc_id", inside=False).withColumn("spans", F.array().cast("array<struct<first:bigint,last:bigint>>"))
+    """(documents that may have spans, with these and `copy`; the others), by a filter on ids: only the former are shuffled."""
+    same = copies(docs, least)
+    twice = Bloom.build(same.select(F.xxhash64("doc_id").alias("h")), "h")
+    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    passed = durable(twice.keep(texts, "doc_id").join(same, "doc_id", "left_anti"))  # the filter's errors: a few
+    spans = repeated_spans(twice.keep(texts, "doc_id", inside=False).union(passed), least)
+    marks = spans.withColumn("copy", F.lit(False)).unionByName(same.select("doc_id", F.array().cast(SPANS).alias("spans"), F.lit(True).alias("copy")))
+    marks = durable(marks.withColumnRenamed("doc_id", "__id"))
+    bloom = Bloom.build(marks.select(F.xxhash64("__id").alias("h")), "h")
+    maybe = bloom.keep(docs, "doc_id").join(marks, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    return maybe, bloom.keep(docs, "doc_id", inside=False).withColumn("spans", F.array().cast(SPANS)).withColumn("copy", F.lit(False))
+
+
+def dropped(n: int, spans: list | None, copy: bool | None, least: int) -> np.ndarray:
+    return np.full(n, n >= least) if copy else covered(n, spans or [])
 
 
 def digests(docs: DataFrame, least: int = 20) -> DataFrame:
@@ -297,9 +325,9 @@ def digests(docs: DataFrame, least: int = 20) -> DataFrame:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 size, gone, sha = [], [], []
-                for t, spans in zip(raw(part.column(1)), part.column(2).to_pylist()):
+                for t, spans, copy in zip(raw(part.column(1)), part.column(2).to_pylist(), part.column(3).to_pylist()):
                     words = (t or b"").split()
-                    drop = covered(len(words), spans or [])
+                    drop = dropped(len(words), spans, copy, least)
                     kept = [w for w, x in zip(words, drop.tolist()) if not x] if drop.any() else words
                     size.append(len(words))
                     gone.append(len(words) - len(kept))
@@ -307,7 +335,7 @@ def digests(docs: DataFrame, least: int = 20) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     sides = with_spans(docs.select("doc_id", "text"), least)
-    out = [x.select("doc_id", "text", "spans").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string") for x in sides]
+    out = [x.select("doc_id", "text", "spans", "copy").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string") for x in sides]
     return out[0].union(out[1])
 
 
@@ -320,15 +348,15 @@ def remove(docs: DataFrame, least: int = 20) -> DataFrame:
     def run(batches):
         for batch in batches:
             out = []
-            for t, spans in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist()):
-                if spans:
+            for t, spans, copy in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist(), batch.column(len(columns) + 1).to_pylist()):
+                if t and (spans or copy):
                     b = t.encode()
                     words = [m.start() for m in WORD.finditer(b)]
                     edges = np.array([*words, len(b)])
-                    keep = ~covered(len(words), spans)
+                    keep = ~dropped(len(words), spans, copy, least)
                     t = b"".join([b[: edges[0]], *[b[edges[i] : edges[i + 1]] for i in np.flatnonzero(keep)]]).decode()
                 out.append(t)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(len(columns))], names=columns)
 
     maybe, rest = with_spans(docs, least)
-    return maybe.select(*columns, "spans").mapInArrow(run, fields).union(rest.select(*columns))
+    return maybe.select(*columns, "spans", "copy").mapInArrow(run, fields).union(rest.select(*columns))
