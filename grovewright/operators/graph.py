@@ -68,7 +68,7 @@ def impact_totals(found: DataFrame, entity: DataFrame) -> DataFrame:
 def neighbourhood(assertion: DataFrame, entity: DataFrame, focus: str, depth: int = 1, max_nodes: int = 60) -> dict[str, DataFrame]:
     """Nodes admitted in order of discovery up to max_nodes, the edges among them, and how many were left out."""
     both = assertion.select(
-        F.explode(F.array(F.struct(F.col("source_id").alias("anchor"), F.col("target_id").alias("entity_id")), F.struct(F.col("target_id"), F.col("source_id")))).alias("e"), "relation", "source_id", "target_id", "assertion_id"
+        F.explode(F.array(F.struct(F.col("source_id").alias("anchor"), F.col("target_id").alias("entity_id")), F.struct(F.col("target_id").alias("anchor"), F.col("source_id").alias("entity_id")))).alias("e"), "relation", "source_id", "target_id", "assertion_id"
     ).select("e.*", "relation", "source_id", "target_id", "assertion_id")
     spark = entity.sparkSession
     admitted = checkpointed(spark.createDataFrame([(focus, 0, 1)], "entity_id string, depth int, rank int"))

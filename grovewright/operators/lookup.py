@@ -28,7 +28,7 @@ def status(entity: DataFrame, assertion: DataFrame, observation: DataFrame) -> D
 
 def relation_counts(assertion: DataFrame) -> DataFrame:
     """(entity_id, side, relation, n) for all entities."""
-    sides = assertion.select(F.explode(F.array(F.struct(F.col("source_id").alias("entity_id"), F.lit("outgoing").alias("side")), F.struct("target_id", F.lit("incoming")))).alias("s"), "relation")
+    sides = assertion.select(F.explode(F.array(F.struct(F.col("source_id").alias("entity_id"), F.lit("outgoing").alias("side")), F.struct(F.col("target_id").alias("entity_id"), F.lit("incoming").alias("side")))).alias("s"), "relation")
     return sides.groupBy("s.entity_id", "s.side", "relation").agg(F.count("*").alias("n"))
 
 
