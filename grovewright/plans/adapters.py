@@ -95,11 +95,11 @@ class Model:
 
     @property
     def content_change(self) -> DataFrame:
-        """Sixteen documents a commit, half of them deleted and half added; the blob is the digest of the text."""
+        """Documents of about one length are a commit; even ones are deleted, odd ones added; the blob is the digest of the text."""
         blob = F.sha2("text", 256)
         gone = F.pmod("doc_id", F.lit(2)) == 0
         return self.raw("documents").select(
-            F.floor(F.col("doc_id") / 16).cast("string").alias("commit_oid"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.when(gone, "deleted").otherwise("added").alias("change_kind"), F.when(~gone, blob).alias("blob_oid"), F.when(gone, blob).alias("prev_blob_oid")
+            F.floor(F.col("n_chars") / 20).cast("string").alias("commit_oid"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("path"), F.when(gone, "deleted").otherwise("added").alias("change_kind"), F.when(~gone, blob).alias("blob_oid"), F.when(gone, blob).alias("prev_blob_oid")
         )
 
     @property
@@ -152,7 +152,7 @@ SQL = {
     "commits": """SELECT lpad(o_orderkey::VARCHAR, 10, '0') AS commit_oid, o_custkey, (date_diff('day', DATE '1970-01-01', o_orderdate::DATE) * 86400)::BIGINT AS committer_time, o_orderpriority AS summary, o_custkey % 10 = 0 AS hidden FROM orders""",
     "parent": """SELECT commit_oid, lag(commit_oid) OVER (PARTITION BY o_custkey ORDER BY committer_time, commit_oid) AS parent_oid FROM commits""",
     "change": """SELECT lpad(l_orderkey::VARCHAR, 10, '0') AS commit_oid, 'part/' || l_partkey AS path, CASE min(l_returnflag) WHEN 'N' THEN 'added' WHEN 'R' THEN 'modified' ELSE 'deleted' END AS change_kind FROM lineitem GROUP BY l_orderkey, l_partkey""",
-    "content": """SELECT (doc_id // 16)::VARCHAR AS commit_oid, 'doc/' || doc_id AS path, CASE WHEN doc_id % 2 = 0 THEN 'deleted' ELSE 'added' END AS change_kind, sha256(text) AS blob_oid, text FROM documents""",
+    "content": """SELECT (n_chars // 20)::VARCHAR AS commit_oid, 'doc/' || doc_id AS path, CASE WHEN doc_id % 2 = 0 THEN 'deleted' ELSE 'added' END AS change_kind, sha256(text) AS blob_oid, text FROM documents""",
     "span": """SELECT o_custkey AS file, o_orderkey AS symbol, least(a, b) AS start_line, greatest(a, b) AS end_line FROM (SELECT o_custkey, o_orderkey, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) AS a, (SELECT date_diff('day', DATE '1992-01-01', max(l_shipdate)::DATE) FROM lineitem WHERE l_orderkey = o_orderkey) AS b FROM orders) WHERE b IS NOT NULL""",
     "line": """SELECT o_custkey AS file, date_diff('day', DATE '1992-01-01', l_shipdate::DATE) AS line, CASE WHEN l_linestatus = 'F' THEN l_quantity::BIGINT ELSE 0 END AS hits FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "transition": """SELECT conv_id AS memory_id, turn AS event_id, CASE WHEN turn = 0 THEN 'proposed' WHEN turn = 1 THEN 'active' WHEN turn % 3 = 2 THEN 'superseded' ELSE 'invalidated' END AS to_status FROM conversations""",

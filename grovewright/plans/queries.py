@@ -251,11 +251,11 @@ def q5_explain(m: Model) -> DataFrame:
     return graph.explain(m.assertion, m.observation, "fn_1").select("assertion_id", "relation", "outgoing", "other_end", "file_path", "start_line", "source_type")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 50 AND l_discount >= 0.1 AND l_tax >= 0.07),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 49 AND l_discount >= 0.085 AND l_tax >= 0.07),
     r(a, b) AS (SELECT src, dst FROM e UNION SELECT a, dst FROM r JOIN e ON b = src), s AS (SELECT x.a AS node, min(x.b) AS component, count(*) AS n FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a)
     SELECT node, component FROM s WHERE n > 1""")
 def a19_cycles(m: Model) -> DataFrame:
-    rows = m.raw("lineitem").where("l_quantity >= 50 AND l_discount >= 0.1D AND l_tax >= 0.07D").join(m.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(m.raw("customer"), F.col("o_custkey") == F.col("c_custkey")).join(m.raw("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = m.raw("lineitem").where("l_quantity >= 49 AND l_discount >= 0.085D AND l_tax >= 0.07D").join(m.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(m.raw("customer"), F.col("o_custkey") == F.col("c_custkey")).join(m.raw("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     return graph.cycles(rows.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")))
 
 
@@ -331,7 +331,7 @@ def q25_exact_renames(m: Model) -> DataFrame:
     return history.exact_renames(m.content_change)
 
 
-@query(sql(""", s AS (SELECT *, string_split(text, chr(10)) AS ls FROM content), u AS (SELECT * FROM s WHERE len(ls) BETWEEN 3 AND 50000 AND octet_length(encode(text)) <= 1048576 AND NOT contains(text, chr(0))),
+@query(sql(""", s AS (SELECT *, string_split(text, chr(10)) AS ls FROM content), ok AS (SELECT commit_oid FROM content GROUP BY commit_oid HAVING count(*) FILTER (change_kind = 'deleted') BETWEEN 1 AND 64 AND count(*) FILTER (change_kind = 'added') BETWEEN 1 AND 64 AND count(*) FILTER (change_kind = 'deleted') * count(*) FILTER (change_kind = 'added') <= 256), u AS (SELECT * FROM s JOIN ok USING (commit_oid) WHERE len(ls) BETWEEN 3 AND 50000 AND octet_length(encode(text)) <= 1048576 AND NOT contains(text, chr(0))),
     p AS (SELECT d.commit_oid, d.path AS from_path, a.path AS to_path, d.ls AS l1, a.ls AS l2 FROM u d JOIN u a ON d.commit_oid = a.commit_oid AND d.change_kind = 'deleted' AND a.change_kind = 'added' AND d.blob_oid <> a.blob_oid AND 8 * least(len(d.ls), len(a.ls)) >= 7 * greatest(len(d.ls), len(a.ls))),
     c1 AS (SELECT commit_oid, from_path, to_path, line, count(*) AS c FROM (SELECT commit_oid, from_path, to_path, unnest(l1) AS line FROM p) GROUP BY ALL), c2 AS (SELECT commit_oid, from_path, to_path, line, count(*) AS c FROM (SELECT commit_oid, from_path, to_path, unnest(l2) AS line FROM p) GROUP BY ALL),
     k AS (SELECT commit_oid, from_path, to_path, sum(least(c1.c, c2.c))::BIGINT AS numerator FROM c1 JOIN c2 USING (commit_oid, from_path, to_path, line) GROUP BY ALL),
@@ -342,7 +342,8 @@ def q26_similar_renames(m: Model) -> DataFrame:
     return history.similar_renames(m.content_change, m.blob)[0]
 
 
-@query(sql("""SELECT commit_oid, count(*) FILTER (change_kind = 'deleted') AS deletions, count(*) FILTER (change_kind = 'added') AS additions, count(*) FILTER (change_kind = 'deleted') * count(*) FILTER (change_kind = 'added') AS pairs_considered, 'complete' AS completeness FROM content GROUP BY commit_oid""", "content"))
+@query(sql(""", t AS (SELECT commit_oid, count(*) FILTER (change_kind = 'deleted') AS deletions, count(*) FILTER (change_kind = 'added') AS additions FROM content GROUP BY commit_oid)
+    SELECT *, CASE WHEN deletions > 64 OR additions > 64 OR deletions * additions > 256 THEN 0 ELSE deletions * additions END AS pairs_considered, CASE WHEN deletions = 0 OR additions = 0 THEN 'complete' WHEN deletions > 64 OR additions > 64 OR deletions * additions > 256 THEN 'refused_bound' ELSE 'complete' END AS completeness FROM t""", "content"))
 def q18_rename_analysis(m: Model) -> DataFrame:
     return history.similar_renames(m.content_change, m.blob)[1]
 
@@ -472,10 +473,10 @@ def u3_classify_changes(m: Model) -> DataFrame:
     return incremental.classify(c.where("c_custkey % 11 != 0").select("c_custkey", "c_mktsegment"), new)
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 50 AND l_discount >= 0.1 AND l_tax >= 0.08),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 49 AND l_discount >= 0.085 AND l_tax >= 0.075),
     r(path) AS (SELECT n_nationkey FROM nation WHERE n_nationkey < 3 UNION SELECT src FROM r JOIN e ON dst = path) SELECT path FROM r""")
 def q34_invalidation(m: Model) -> DataFrame:
-    rows = m.raw("lineitem").where("l_quantity >= 50 AND l_discount >= 0.1D AND l_tax >= 0.08D").join(m.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(m.raw("customer"), F.col("o_custkey") == F.col("c_custkey")).join(m.raw("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    rows = m.raw("lineitem").where("l_quantity >= 49 AND l_discount >= 0.085D AND l_tax >= 0.075D").join(m.raw("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(m.raw("customer"), F.col("o_custkey") == F.col("c_custkey")).join(m.raw("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     changes = m.raw("nation").select(F.col("n_nationkey").alias("path"), F.when(F.col("n_nationkey") < 3, "modified").otherwise("unchanged").alias("change"))
     return incremental.invalidated(changes, rows.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")))
 

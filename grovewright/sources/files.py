@@ -42,7 +42,8 @@ def discover(spark: SparkSession, root: str, rules: list[str] | None = None, pat
 
     Outcomes: file, denied (secrets, before any content is used), ignored, skipped (too
     large), refused (a path that climbs or holds control characters). Directory names in
-    PRUNED hide what is below them. The reader lists and reads files in parallel.
+    PRUNED hide what is below them; names that begin with a dot or an underscore are never listed by
+    Spark's readers. The reader lists and reads files in parallel.
     """
     rules = rules or []
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
