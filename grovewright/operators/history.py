@@ -58,8 +58,8 @@ def history_totals(commit: DataFrame, change: DataFrame) -> DataFrame:
     spark = commit.sparkSession
     kinds = spark.createDataFrame([(k,) for k in VOCABULARIES["change_kind"]], "change_kind string")
     by = kinds.join(change.groupBy("change_kind").agg(F.count("*").alias("n")), "change_kind", "left").select(F.concat(F.lit("changes_"), "change_kind").alias("metric"), F.coalesce("n", F.lit(0)).alias("n"))
-    one = commit.agg(F.count("*").alias("commits"), F.count_if("is_merge").alias("merges")).crossJoin(change.agg(F.count("*").alias("changes")))  # one row each
-    return by.union(one.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("n")) for m in ("commits", "merges", "changes")])).alias("x")).select("x.*"))
+    one = commit.agg(F.count("*").alias("commits"), F.count_if("is_merge").alias("merges")).select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("n")) for m in ("commits", "merges")])).alias("x")).select("x.*")
+    return by.union(one).union(change.agg(F.count("*").alias("n")).select(F.lit("changes").alias("metric"), "n"))
 
 
 def first_last_observed(change: DataFrame, commit: DataFrame) -> DataFrame:

@@ -103,15 +103,16 @@ def search(entity: DataFrame, query: str, kind: str | None = None, limit: int =
     """Entities in which every token of the query is the prefix of a word; BM25 over the query's tokens, best (least) first."""
     tokens = sorted({t for t in "".join(c if c.isalnum() else " " for c in query.lower()).split()})
     index = inverted_index(entity)
-    total = index.select("entity_id", "size").distinct().agg(F.count("*").alias("docs"), F.avg("size").alias("avg"))
     if not tokens:
         return entity.limit(0).select("entity_id", "kind", "name").withColumn("score", F.lit(0.0))
     wanted = F.filter(F.array(*[F.lit(t) for t in tokens]), lambda t: F.startswith(F.col("term"), t))
     hits = index.select("entity_id", "size", "tf", F.explode(wanted).alias("token")).groupBy("entity_id", "size", "token").agg(F.sum("tf").alias("tf"))
     df = hits.groupBy("token").agg(F.count("*").alias("df"))
-    scored = hits.join(F.broadcast(df), "token").crossJoin(F.broadcast(total))  # one row of totals
-    idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("avg")))
+    scored = hits.join(F.broadcast(df), "token")  # a row a token of the query
+    words = F.filter(F.split(F.lower(F.concat_ws(" ", "name", "scope_path")), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    total = entity.select(F.size(words).alias("size")).where("size > 0").agg(F.count("*").alias("docs"), F.avg("size").alias("avg")).first()
+    idf = F.log((F.lit(float(total["docs"])) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(total["avg"] or 1.0)))
     out = scored.groupBy("entity_id").agg(F.count("*").alias("matched"), F.round(-F.sum(idf * weight), 6).alias("score")).where(F.col("matched") == len(tokens))
     rows = entity.select("entity_id", "kind", "name") if kind is None else entity.where(F.col("kind") == kind).select("entity_id", "kind", "name")
     return out.join(rows, "entity_id").select("entity_id", "kind", "name", "score").orderBy("score", "entity_id").limit(limit)

@@ -457,7 +457,7 @@ def q31_link_freshness(m: Model) -> DataFrame:
     link = li.select(F.concat_ws("-", text("l_orderkey"), text("l_partkey"), text("l_linenumber")).alias("link_id"), F.col("l_suppkey").alias("registry_id"), text("l_orderkey").alias("source_path"), text("l_partkey").alias("target_path"), F.col("l_returnflag").alias("source_hash"), F.col("l_linestatus").alias("target_hash"), F.when(F.col("l_quantity") > 45, "withdrawn").otherwise("active").alias("status"))
     registry = m.raw("supplier").where("s_suppkey % 10 > 0").select(F.col("s_suppkey").alias("registry_id"), F.when(F.col("s_nationkey") % 4 == 0, "moved").otherwise("available").alias("availability"))
     source = m.raw("orders").where("o_orderstatus != 'P'").select(text("o_orderkey").alias("path"), F.lit("N").alias("hash"))
-    target = m.raw("part").where("p_size > 10").select(text("p_partkey").alias("path"), F.lit("O").alias("hash")).crossJoin(F.broadcast(m.raw("supplier").agg(F.lit(0).alias("x")))).drop("x")
+    target = m.raw("part").where("p_size > 10").select(text("p_partkey").alias("path"), F.lit("O").alias("hash"))
     target = link.select("registry_id", F.col("target_path").alias("path")).distinct().join(target, "path")
     return memory.link_freshness(link, registry, source, target).groupBy("freshness").agg(F.count("*").alias("n"))
 
