@@ -183,3 +183,41 @@ def test_adr(spark):
     links = adr.supersession(found)
     assert {(r.source[-4], r.target and r.target[-4], r.reason) for r in links.collect()} == {("b", "a", None), ("c", "b", None), ("e", None, "no_such_number")}
     assert [r.path for r in found.where("ambiguous").collect()] == ["adr/0004-d.md"] and adr.contradictions(links, found).first()[0] == 2
+
+
+TS = """
+import express, { Router as R, type T } from 'express';
+import * as fs from "fs";
+// import no from 'no';
+const util = require('./util');
+export * from './star';
+export { a as b } from './named';
+export const LIMIT = 3;
+const s = "function fake() {}", r = /function no\\(\\) {/;
+const app = express();
+export default class Car extends base.Vehicle<T> implements X {
+  private speed = 1;
+  drive(to: string): void {
+    if (to) { const inner = () => { return 1; }; }
+  }
+}
+export function list(req, res) { return `}${req}`; }
+const arrow = async (x: number): Promise<void> => { await import('./late'); };
+interface Shape { area(): number }
+app.get('/items', list);
+other.get('/no', list);
+export { arrow };
+"""
+
+
+def test_typescript(spark):
+    from grovewright.sources import typescript
+
+    rows = typescript.structure(spark.createDataFrame([("a.ts", TS)], "path string, text string")).collect()
+    of = lambda row: {(r.kind, r.name, r.target) for r in rows if r.row == row}
+    assert of("import") == {("default", "express", "express#default"), ("named", "R", "express#Router"), ("named", "T", "express#T"), ("namespace", "fs", "fs#*"), ("namespace", "util", "./util#*")}
+    assert of("reexport") == {("star", "*", "./star"), ("named", "b", "./named#a")}
+    assert of("export") == {("value", "LIMIT", "LIMIT"), ("local", "default", "Car"), ("local", "list", "list"), ("named", "arrow", "arrow")}
+    symbols = {(r.kind, r.scope, r.name) for r in rows if r.row == "symbol"}
+    assert symbols == {("class", "", "Car"), ("method", "Car", "drive"), ("function", "Car.<local:drive>", "inner"), ("function", "", "list"), ("function", "", "arrow"), ("interface", "", "Shape")}
+    assert of("extends") == {("class", "base.Vehicle", "Car")} and of("endpoint") == {("GET", "/items", "list")} and of("unmodelled") == {("dynamic_import", "", None)}
