@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import pickle
+import sys
 import tempfile
 import uuid
 import zlib
@@ -15,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MULT = np.uint64(0x9E3779B97F4A7C15)
-CACHE = 200_000
+CACHE = 120_000
 
 
 class WordHash(dict):
@@ -54,6 +58,24 @@ def ngrams(h: np.ndarray, k: int) -> np.ndarray:
     return mix(acc)
 
 
+def tidied(run, words: bool = False):
+    """run for mapInArrow, after which the worker gives back what it held: workers are reused, and their memory adds up.
+
+    The packer's word cache outlives its tasks, but not the next task of another kind.
+    """
+
+    def whole(batches):
+        if not words:
+            sys.__dict__.pop("_grovewright_words", None)
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has such a call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def raw(column: pa.Array) -> list[bytes | None]:
     """A string column as UTF-8 bytes."""
     return column.cast(pa.binary()).to_pylist()
@@ -64,6 +86,11 @@ def fold(column: str, parts: int):
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % parts, F.lit(0))
 
 
+def part_of(column: str, rows: int, total: int):
+    """Picks about `rows` of `total` rows by hash of a column, each row by itself: no sort and nothing gathered."""
+    return F.pmod(F.xxhash64(column, F.lit(17)), F.lit(1 << 40)) < int((1 << 40) * min(1.0, rows / max(1, total)))
+
+
 def crc(data: bytes) -> int:
     return zlib.crc32(data)
 
@@ -96,6 +123,13 @@ def shared(spark: SparkSession) -> None:
         sc.setCheckpointDir(folder)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts are long: where the session leaves Arrow batches at their default, hold fewer rows at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) == 10_000:
+        spark.conf.set(key, str(rows))
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint."""
     shared(df.sparkSession)
@@ -133,7 +167,7 @@ class Bloom:
             hashes.select(F.explode(F.array(*at)).alias("at"))
             .groupBy(F.shiftrightunsigned("at", Bloom.BLOCK).alias("block"))
             .agg(F.collect_set(F.col("at").bitwiseAND(low).cast("int")).alias("slots"))  # 2**16 at most
-            .mapInArrow(fill, "block long, data binary")
+            .mapInArrow(tidied(fill), "block long, data binary")
             .collect()
         )
         data, size = np.zeros(1 << (bits - 3), np.uint8), 1 << (Bloom.BLOCK - 3)
@@ -164,7 +198,7 @@ class Bloom:
                 if kept.num_rows:
                     yield kept
 
-        return df.select("*", F.xxhash64(column).alias("__hash")).mapInArrow(run, fields)
+        return df.select("*", F.xxhash64(column).alias("__hash")).mapInArrow(tidied(run), fields)
 
 
 def stored(df: DataFrame) -> DataFrame:

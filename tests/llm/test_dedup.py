@@ -73,8 +73,10 @@ def test_odd(spark, odd, odd_docs, empty_docs):
     assert minhash.near_duplicates(empty_docs).count() == 0
 
 
-def test_chains(spark):
+@pytest.mark.parametrize("block", [8, 1024])
+def test_chains(spark, monkeypatch, block):
     """A drifting text: neighbours are alike, the ends are not; a bucket's leader is alike to few."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng = np.random.default_rng(3)
     rows, words = [], [f"w{i}" for i in range(60)]
     for i in range(120):
