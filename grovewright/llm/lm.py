@@ -12,7 +12,7 @@ last CONTEXT words' vectors, each scaled by a vector of its distance; its produc
 the class vectors, plus biases, are normalised over all classes by one matrix product a
 block of tokens.
 
-Training. A start is learned from START_DOCS texts in one task (a documented bound, only
+Training. A start is learned from about START_DOCS texts in one task (a documented bound, only
 to give all tasks the same start); then each task trains on all texts of its partition,
 and the parameters are averaged by tokens, in two levels of sums on executors.
 
@@ -31,10 +31,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE, Shared, WordHash, fold, raw, stored
+from .common import CACHE, Shared, WordHash, fold, part_of, raw, stored, tidied
 
-HEAD, TOP, ENDINGS, INPUTS, DIM, CONTEXT = 100_000, 128, 63, 4096, 16, 3
+HEAD, TOP, ENDINGS, INPUTS, DIM, CONTEXT = 100_000, 96, 47, 4096, 16, 2
 NOISE, BLOCK, START_DOCS, RATE = 32, 8192, 1000, 0.1
+SCORED = 1024  # tokens scored at once: their products with all classes stay in the cache
 SMOOTH = 0.1
 CHUNK = 16_384
 
@@ -56,7 +57,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             e = np.fromiter((ending(flat[i]) for i in first.tolist()), np.int32, len(first))
             yield pa.RecordBatch.from_arrays([pa.array([*u.tolist(), None], pa.int64()), pa.array([*e.tolist(), -1], pa.int32()), pa.array([*n.tolist(), len(every)], pa.int64())], names=["h", "ending", "c"])
 
-    return docs.select("text").mapInArrow(run, "h long, ending int, c long").groupBy("h", "ending").agg(F.sum("c").alias("c")).where("c > 0")
+    return docs.select("text").mapInArrow(tidied(run), "h long, ending int, c long").groupBy("h", "ending").agg(F.sum("c").alias("c")).where("c > 0")
 
 
 @dataclass
@@ -91,7 +92,14 @@ class Vocabulary:
 def vocabulary(counts: DataFrame) -> Vocabulary:
     words = counts.where("h IS NOT NULL")
     total = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v"), F.sum(F.when(F.col("h").isNull(), F.col("c"))).alias("d")).first()
-    top = words.orderBy(F.desc("c"), "h").limit(HEAD).collect()  # HEAD rows at most
+    # the head is all words from some frequency on, so that HEAD rows at most leave the executors
+    step = F.floor(F.log2("c") * 16).cast("int")
+    sizes, cut, n = sorted(words.groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect(), reverse=True), None, 0
+    for r in sizes:
+        if n + r["n"] > HEAD:
+            break
+        n, cut = n + r["n"], r["step"]
+    top = [] if cut is None else sorted(words.where(step >= cut).collect(), key=lambda r: (-r["c"], r["h"]))
     by_end = words.groupBy("ending").agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()  # 2**16 rows at most
     mass, kinds = {r["ending"]: r["c"] for r in by_end}, {r["ending"]: r["v"] for r in by_end}
     for r in top[:TOP]:
@@ -215,10 +223,12 @@ class Model:
         s = p @ self.q.T
         s += self.b
         own = s[np.arange(len(at)), classes[at]].astype(float)
-        peak = s.max(axis=1)
-        s -= peak[:, None]
-        np.exp(s, out=s)
-        return (own - peak - np.log(s.sum(axis=1, dtype=np.float64))) / math.log(10)
+        with np.errstate(over="ignore"):
+            total = (np.exp(s) @ np.ones(s.shape[1], np.float32)).astype(float)
+        if not np.isfinite(total).all() or not total.all():  # logits beyond what exp can hold
+            peak = s.max(axis=1, keepdims=True)
+            total, own = np.exp(s - peak).sum(axis=1, dtype=np.float64), own - peak[:, 0]
+        return (own - np.log(total)) / math.log(10)
 
 
 def spread(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
@@ -256,8 +266,8 @@ def train(docs: DataFrame, v: Vocabulary) -> Model:
         train_on(model, held.value, batches, passes=4)
         yield pa.RecordBatch.from_pydict({"flat": pa.array([model.flat().tobytes()], pa.binary())})
 
-    few = docs.select("text", F.xxhash64("text").alias("h")).orderBy("h").limit(START_DOCS).coalesce(1)
-    got = few.select("text").mapInArrow(begin, "flat binary").collect()
+    few = docs.where(part_of("doc_id", START_DOCS, v.end_count)).repartition(1)
+    got = few.select("text").mapInArrow(tidied(begin), "flat binary").collect()
     start = Shared(spark, np.frombuffer(bytes(got[0]["flat"]), np.float32) if got else shape.flat())
     salts = max(1, math.isqrt(docs.rdd.getNumPartitions()))
 
@@ -281,7 +291,7 @@ def train(docs: DataFrame, v: Vocabulary) -> Model:
         return pa.table({"chunk": t.column("chunk").slice(0, 1), "salt": pa.array([0], pa.int32()), "n": pa.array([sum(t.column("n").to_pylist())], pa.int64()), "v": pa.array([acc.tobytes()], pa.binary())})
 
     kind = "chunk int, salt int, n long, v binary"
-    sums = docs.select("text").mapInArrow(learn, kind).groupBy("chunk", "salt").applyInArrow(add, kind).groupBy("chunk").applyInArrow(add, kind)
+    sums = docs.select("text").mapInArrow(tidied(learn), kind).groupBy("chunk", "salt").applyInArrow(add, kind).groupBy("chunk").applyInArrow(add, kind)
     rows = sums.orderBy("chunk").collect()  # one model
     return shape.of(np.concatenate([np.frombuffer(bytes(r["v"]), np.float64) / r["n"] for r in rows]).astype(np.float32) if rows else start.value)
 
@@ -294,45 +304,42 @@ def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, model: Model, id_co
     base_unit = math.log10(v.tokens + SMOOTH * (v.types + 1)) if v.tokens or v.types else math.log10(SMOOTH)
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), F.xxhash64(id_column, text_column).alias("row"))
 
-    def local(batches):
+    def run(batches):
         v, model = held.value, given.value
-        codes = Codes(v)
+        codes, hashed = Codes(v), WordHash()
         for batch in batches:
             for lo in range(0, batch.num_rows, 128):
                 part = batch.slice(lo, 128)
                 texts = [(t or b"").lower().split() for t in raw(part.column(1))]
                 laid, at = laid_out(texts, codes)
                 inputs, classes = v.input_of[laid], v.class_of[laid]
-                log_class = np.concatenate([model.log_class(inputs, classes, at[k : k + BLOCK]) for k in range(0, len(at), BLOCK)])
-                begins = np.cumsum([0, *[len(t) + 1 for t in texts]])[:-1]
+                log_class = np.concatenate([model.log_class(inputs, classes, at[k : k + SCORED]) for k in range(0, len(at), SCORED)])
+                size = np.array([len(t) + 1 for t in texts])
+                begins = np.cumsum(size) - size
                 sums = lambda x, begins=begins: pa.array(np.add.reduceat(x, begins))
                 own = laid[at]
+                rare = np.flatnonzero((own >= v.head) & (own != v.end))
+                whose = np.repeat(np.arange(len(texts)), size)[rare]
+                h = hashed.of([texts[i][j] for i, j in zip(whose.tolist(), (rare - begins[whose]).tolist())]).view(np.int64)
+                order = np.lexsort((h, whose))
+                whose, h = whose[order], h[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (whose[1:] != whose[:-1]) | (h[1:] != h[:-1])
+                first = np.flatnonzero(new)
+                times = np.diff(np.append(first, len(h))).astype(np.int32)
+                offsets = pa.array(np.searchsorted(whose[first], np.arange(len(texts) + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array([len(t) + 1 for t in texts], pa.int64()), sums(((own < v.head) | (own == v.end) & (v.end_count > 0)).astype(np.int64)), sums(v.log_count[own]), sums(log_class - v.log_mass[classes[at]])],
-                    names=["doc_id", "row", "n_tokens", "known", "log_counts", "log_classes"],
-                )
-
-    def rare(batches):
-        v = held.value
-        codes, hashed = Codes(v), WordHash()
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                rows, hs, ns = [], [], []
-                for row, t in zip(part.column(0).to_pylist(), raw(part.column(1))):
-                    words = (t or b"").lower().split()
-                    code = np.fromiter(map(codes.__getitem__, words), np.int64, len(words))
-                    h, n = np.unique(hashed.of([words[i] for i in np.flatnonzero(code >= v.head).tolist()]), return_counts=True)
-                    rows.append(np.full(len(h), row, np.int64))
-                    hs.append(h.view(np.int64))
-                    ns.append(n)
-                row = np.concatenate(rows)
-                first = np.ones(len(row), np.int32)
-                first[1:] = row[1:] != row[:-1]
-                yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(np.concatenate(hs)), pa.array(np.concatenate(ns).astype(np.int32)), pa.array(first)], names=["row", "h", "n", "first"])
-
-    near = source.select("doc_id", "text", "row").mapInArrow(local, f"doc_id {kind}, row long, n_tokens long, known long, log_counts double, log_classes double")
-    far = source.select("row", "text").mapInArrow(rare, "row long, h long, n int, first int")
+                    [
+                        part.column(0), part.column(2), pa.array(size), sums(((own < v.head) | (own == v.end) & (v.end_count > 0)).astype(np.int64)), sums(v.log_count[own]), sums(log_class - v.log_mass[classes[at]]),
+                        pa.ListArray.from_arrays(offsets, pa.array(h[first])), pa.ListArray.from_arrays(offsets, pa.array(times)),
+                    ],
+                    names=["doc_id", "row", "n_tokens", "known", "log_counts", "log_classes", "hs", "ns"],
+                )
+
+    scored = source.select("doc_id", "text", "row").mapInArrow(tidied(run), f"doc_id {kind}, row long, n_tokens long, known long, log_counts double, log_classes double, hs array<long>, ns array<int>")
+    scored = stored(scored)  # so that texts are read once for both uses
+    near = scored.drop("hs", "ns")
+    far = scored.select("row", F.posexplode(F.arrays_zip("hs", "ns")).alias("at", "x")).select("row", F.col("x.hs").alias("h"), F.col("x.ns").alias("n"), (F.col("at") == 0).cast("int").alias("first"))
     c = F.coalesce("c", F.lit(0))
     far = (
         far.join(counts.where("h IS NOT NULL").select("h", "c"), "h", "left")
