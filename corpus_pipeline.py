@@ -19,13 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovewright.llm import decontamination, minhash, nbsvm, packing, substrings
-from grovewright.llm.common import stored
+from grovewright.llm.common import small_batches, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MIN_WORDS = 40
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     model = nbsvm.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return nbsvm.score(docs, model).where("predicted = 1").select(*COLUMNS)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE, Shared, WordHash, ngrams, raw
+from .common import CACHE, Shared, WordHash, ngrams, raw, tidied
 
 N = 3
 RARE = 12
@@ -166,7 +166,7 @@ def frequencies(docs: DataFrame, items: Items) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
 
     out = np.zeros(len(items.every), np.int64)
-    for r in docs.select("text").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # at most the n-grams of a block
+    for r in docs.select("text").mapInArrow(tidied(run), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # at most the n-grams of a block
         out[r["at"]] = r["n"]
     return out
 
@@ -196,7 +196,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", it
                         found.append(before + [{"item_id": i, "score": s, "first": x, "last": y} for i, s, x, y in sorted(best, key=lambda b: (-b[1], b[0]))])
                     yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(found, found_arrow)], names=part.schema.names)
 
-        out = out.mapInArrow(run, f"{fields}, `__items` {found_type}")
+        out = out.mapInArrow(tidied(run), f"{fields}, `__items` {found_type}")
     return out.withColumn("__score", F.coalesce(F.array_max(F.transform("__items", lambda x: x["score"])), F.lit(0.0)))
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared
+from .common import Shared, tidied
 
 # Element names by the HTML standard.
 RAW = {"script", "style", "textarea", "noscript", "template", "iframe", "svg", "title"}
@@ -199,7 +199,7 @@ def learn(pages: DataFrame, html_column: str = "html") -> Weights:
             yield pa.RecordBatch.from_pydict({"feature": [f for f, _ in keys], "inside": [i for _, i in keys], "n": [total[k] for k in keys]})
 
     # features are names from fixed lists, so there are at most some hundreds
-    got = pages.select(html_column).mapInArrow(run, "feature string, inside boolean, n long").groupBy("feature", "inside").agg(F.sum("n").alias("n")).collect()
+    got = pages.select(html_column).mapInArrow(tidied(run), "feature string, inside boolean, n long").groupBy("feature", "inside").agg(F.sum("n").alias("n")).collect()
     return Weights({(r["feature"], r["inside"]): r["n"] for r in got})
 
 
@@ -216,4 +216,4 @@ def extract(pages: DataFrame, weights: Weights | None = None, html_column: str =
                 texts = [main_text(h or "", held.value) for h in part.column(len(keep)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[*keep, "text", "n_chars"])
 
-    return pages.select(*keep, html_column).mapInArrow(run, f"{fields}, text string, n_chars long")
+    return pages.select(*keep, html_column).mapInArrow(tidied(run), f"{fields}, text string, n_chars long")

@@ -3,7 +3,7 @@
 Indicators of word and word-shape 1- to 2-grams are scaled by the log-count ratio of the
 two classes and fed to a linear hinge-loss model fitted by dual coordinate descent; the
 margin becomes a score by a logistic fit. Features are hashed to 2**BITS columns, so the
-model has a fixed size. Fitting uses at most FIT_ROWS labelled rows (by hash of the id);
+model has a fixed size. Fitting uses about FIT_ROWS labelled rows (by hash of the id);
 scoring reads every whole text once and shuffles nothing.
 
 Null and empty texts have no features and get the score of the bias. Repeated rows get a
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE, Shared, WordHash, fold, ngrams, raw
+from .common import CACHE, Shared, WordHash, fold, ngrams, part_of, raw, tidied
 
 BITS = 18
 FIT_ROWS = 8_000
@@ -128,7 +128,7 @@ def logistic(m: np.ndarray, good: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, column: str = "quality") -> Model:
     marks = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 5) != 0)).groupBy("doc_id").agg((F.avg(column) >= 0.5).alias("good"))
-    sample = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    sample = marks.where(part_of("doc_id", rows, marks.count()))
 
     def run(batches):
         words, shapes = WordHash(), ShapeHash()
@@ -138,9 +138,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, column: str =
 
     got = (
         docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "good", "text")
-        .mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, good boolean, f binary")
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * rows).collect()
+        .mapInArrow(tidied(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, good boolean, f binary")
+        .collect()
     )
+    got.sort(key=lambda r: (r["doc_id"], bytes(r["f"])))
     return train([np.frombuffer(bytes(r["f"]), np.int32).astype(np.int64) for r in got], np.array([r["good"] for r in got], bool))
 
 
@@ -160,4 +161,4 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], names=[*part.schema.names, "score", "predicted"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, score double, predicted int")
+    return docs.mapInArrow(tidied(run), f"{fields}, score double, predicted int")

@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc, durable, raw
+from .common import crc, durable, raw, tidied
 
-CACHE = 700_000
+CACHE = 200_000
 SALT_ROWS = 20_000
 
 
@@ -132,7 +132,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0
                     names=["doc_id", "piece", "start", "length", last.split()[0]],
                 )
 
-    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, {last}")
+    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(tidied(run, words=True), f"doc_id {kind}, piece int, start long, length long, {last}")
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
@@ -215,7 +215,7 @@ def assign(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 
     kept = pieces.columns
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return ranked.select(*kept, "rank").mapInArrow(find, schema)
+    return ranked.select(*kept, "rank").mapInArrow(tidied(find), schema)
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, durable, fold, ngrams, raw
+from .common import WordHash, durable, fold, ngrams, part_of, raw, tidied
 
 SYMBOLS = b"#*$%&|<>"
 SPACE = b" \t\n\x0b\x0c\r"
@@ -39,7 +39,7 @@ STATISTICS = {
     "marks_per_word": "n_marks / greatest(n_words, 1)",
     "distinct_share": "n_distinct / greatest(n_words, 1)",
 }
-#: Labelled rows that the list is learned from, at most.
+#: Labelled rows that the list is learned from, about.
 FIT_ROWS = 20_000
 
 
@@ -75,7 +75,7 @@ def counts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, pa.int64()) for c in cols]], names=["doc_id", *COUNTS])
 
     schema = f"doc_id {kind}, " + ", ".join(f"{c} long" for c in COUNTS)
-    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(tidied(run), schema)
 
 
 @dataclass
@@ -166,10 +166,11 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def fit(counted: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> list[Rule]:
-    """Learn from at most `rows` labelled rows outside fold 0 of 5, taken by hash of the id."""
+    """Learn from about `rows` labelled rows outside fold 0 of 5, taken by hash of the id."""
     marks = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold("doc_id", 5) != 0)).groupBy("doc_id").agg((F.avg("quality") < 0.5).alias("bad"))
-    sample = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    got = counted.join(F.broadcast(sample), "doc_id").select("bad", *[F.expr(e).alias(k) for k, e in STATISTICS.items()]).orderBy(F.xxhash64(*STATISTICS)).limit(2 * rows).toPandas()
+    sample = marks.where(part_of("doc_id", rows, marks.count()))
+    got = counted.join(F.broadcast(sample), "doc_id").select("bad", *[F.expr(e).alias(k) for k, e in STATISTICS.items()]).toPandas()
+    got = got.sort_values(list(STATISTICS), ignore_index=True).sample(frac=1, random_state=1)
     if not len(got) or got["bad"].nunique() < 2:
         return []
     return learn({k: got[k].to_numpy(float) for k in STATISTICS}, got["bad"].to_numpy(bool))

@@ -36,7 +36,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Bloom, WordHash, discard, durable, ngrams, raw, stored
+from .common import Bloom, WordHash, discard, durable, ngrams, raw, stored, tidied
 
 BITS = 27  # of the filter of anchors: 16 MB
 SHARD_WORDS = 40_000
@@ -67,7 +67,7 @@ def repeated_anchors(docs: DataFrame, least: int) -> DataFrame:
             h, n = np.unique(np.concatenate(found), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], names=["h", "n"])
 
-    return docs.select("text").mapInArrow(run, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    return docs.select("text").mapInArrow(tidied(run), "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
 
 
 def windows(docs: DataFrame, bloom: Bloom, least: int) -> DataFrame:
@@ -98,7 +98,7 @@ def windows(docs: DataFrame, bloom: Bloom, least: int) -> DataFrame:
                 names=["h", "doc_id", "start", "src", "src_start"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "h long, doc_id long, start int, src long, src_start int")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), "h long, doc_id long, start int, src long, src_start int")
 
 
 def runs(found: DataFrame, least: int) -> DataFrame:
@@ -124,7 +124,7 @@ def runs(found: DataFrame, least: int) -> DataFrame:
 
     # a document's windows, never more than its words
     by = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "src", "src_start")).alias("ws"))
-    return by.mapInArrow(run, "doc_id long, start long, length long, src long, src_start long")
+    return by.mapInArrow(tidied(run), "doc_id long, start long, length long, src long, src_start long")
 
 
 class Automaton:
@@ -235,7 +235,7 @@ def confirm(docs: DataFrame, found: DataFrame, least: int) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
 
-    cutted = texts.select("doc_id", "text", "ps").mapInArrow(cut, "key long, salt long, reference boolean, doc_id long, start long, words binary")
+    cutted = texts.select("doc_id", "text", "ps").mapInArrow(tidied(cut), "key long, salt long, reference boolean, doc_id long, start long, words binary")
 
     def shard_task(t: pa.Table) -> pa.Table:
         cols = [t.column(c).to_pylist() for c in ("reference", "doc_id", "start", "words")]
@@ -335,7 +335,7 @@ def digests(docs: DataFrame, least: int = 20) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     sides = with_spans(docs.select("doc_id", "text"), least)
-    out = [x.select("doc_id", "text", "spans", "copy").mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string") for x in sides]
+    out = [x.select("doc_id", "text", "spans", "copy").mapInArrow(tidied(run), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string") for x in sides]
     return out[0].union(out[1])
 
 
@@ -359,4 +359,4 @@ def remove(docs: DataFrame, least: int = 20) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(len(columns))], names=columns)
 
     maybe, rest = with_spans(docs, least)
-    return maybe.select(*columns, "spans", "copy").mapInArrow(run, fields).union(rest.select(*columns))
+    return maybe.select(*columns, "spans", "copy").mapInArrow(tidied(run), fields).union(rest.select(*columns))
