@@ -530,3 +530,75 @@ def n4_latest_by_key(m: Model) -> DataFrame:
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{x}', {i})" for k, xs in vocab.VOCABULARIES.items() for i, x in enumerate(xs)) + ") t(vocabulary, member, ordinal)")
 def v0_vocabularies(m: Model) -> DataFrame:
     return vocab.table(m.spark)
+
+
+# --- further inventory rows ----------------------------------------------------------------
+
+
+@query("""SELECT n_name AS name, CASE WHEN n_nationkey % 7 = 0 THEN 'unusable' WHEN s = 0 THEN 'no_index' WHEN n_nationkey % 5 = 0 THEN 'unverified' WHEN c % 3 = 0 THEN 'stale' WHEN s % 2 = 0 THEN 'unverified' ELSE 'current' END AS trust
+    FROM (SELECT n_nationkey, n_name, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS s, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS c FROM nation)""")
+def q13_trust(m: Model) -> DataFrame:
+    s = m.raw("supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("s"))
+    c = m.raw("customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.count("*").alias("c"))
+    rows = m.raw("nation").join(s, "n_nationkey", "left").join(c, "n_nationkey", "left").withColumns({"s": F.coalesce("s", F.lit(0)), "c": F.coalesce("c", F.lit(0))})
+    k = F.col("n_nationkey")
+    tallies = rows.select("n_name", (k % 7 != 0).alias("schema_ok"), F.col("s").alias("runs"), (k % 5 == 0).cast("int").alias("running"), (F.col("c") % 3 == 0).cast("int").alias("changed"), F.lit(0).alias("missing"), F.lit(0).alias("added"), (F.col("s") % 2 == 0).alias("truncated"), F.lit(0).alias("refused"), F.lit(0).alias("unreadable"))
+    return lookup.trust(tallies).select(F.col("n_name").alias("name"), "trust")
+
+
+@query("""SELECT s_suppkey AS registry_id, CASE WHEN s_suppkey % 11 = 0 THEN 'tombstoned' WHEN s_acctbal < 0 THEN 'missing' WHEN s_suppkey % 7 = 0 THEN 'refused' WHEN s_nationkey % 3 = 0 THEN 'moved' WHEN s_nationkey % 3 = 1 AND s_suppkey % 2 = 0 THEN 'partially_indexed' ELSE 'available' END AS availability FROM supplier""")
+def q29_availability(m: Model) -> DataFrame:
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    rows = m.raw("supplier").select(k.alias("registry_id"), F.when(k % 11 == 0, "tombstoned").otherwise("active").alias("status"), (F.col("s_acctbal") >= 0).alias("path_exists"), (k % 7 != 0).alias("readable"), F.lit("r").alias("repo_id"), F.when(n % 3 != 0, "r").alias("repo_id_now"), F.when(~((n % 3 == 1) & (k % 2 == 0)), "s").alias("indexed_state"))
+    return memory.availability(rows).select("registry_id", "availability")
+
+
+@query("""SELECT l_suppkey AS source_path, l_partkey AS specifier, count(*) AS n, CASE WHEN count(DISTINCT l_linenumber) > 1 THEN 'many_targets' WHEN count(*) > 1 THEN 'repeated' ELSE 'unique' END AS ambiguity FROM lineitem GROUP BY ALL""")
+def a17_contract_ambiguity(m: Model) -> DataFrame:
+    rows = m.raw("lineitem").select(F.col("l_suppkey").alias("source_path"), F.col("l_partkey").alias("specifier"), F.col("l_linenumber").alias("target_path"))
+    return memory.contract_ambiguity(rows).groupBy("source_path", "specifier", "ambiguity").agg(F.count("*").alias("n"))
+
+
+@query(sql("""SELECT DISTINCT e AS entity_id FROM (SELECT source_id AS e FROM assertion WHERE assertion_id NOT IN (SELECT assertion_id FROM observation) UNION SELECT target_id FROM assertion WHERE assertion_id NOT IN (SELECT assertion_id FROM observation))""", "assertion", "observation"))
+def u1_doomed_endpoints(m: Model) -> DataFrame:
+    doomed = m.assertion.join(m.observation.select("assertion_id"), "assertion_id", "left_anti")
+    return doomed.select(F.col("source_id").alias("entity_id")).union(doomed.select("target_id")).distinct()
+
+
+@query("""SELECT event_id, CASE user_id % 6 WHEN 0 THEN 'typescript' WHEN 4 THEN 'typescript' WHEN 1 THEN 'python' WHEN 2 THEN 'markdown' END AS language FROM events""")
+def s5_language_dispatch(m: Model) -> DataFrame:
+    ext = F.get(F.array(*[F.lit(x) for x in (".ts", ".PY", ".md", ".txt", ".tsx", "")]), (F.col("user_id") % 6).cast("int"))
+    return m.raw("events").select("event_id", S.language(F.concat(F.lit("d.d/"), "event_type", ext)).alias("language"))
+
+
+@query("""SELECT count(*) FILTER (user_id % 4 IN (0, 2)) AS denied, count(*) FILTER (user_id % 4 IN (1, 3)) AS readable FROM events""")
+def s4_secret_names(m: Model) -> DataFrame:
+    name = F.get(F.array(F.lit(".env.local"), F.lit("env.local"), F.lit("server.key"), F.lit("keys")), (F.col("user_id") % 4).cast("int"))
+    return m.raw("events").select(S.is_secret(F.concat(F.lit("conf/"), name)).alias("s")).agg(F.count_if("s").alias("denied"), F.count_if(~F.col("s")).alias("readable"))
+
+
+@query("""WITH l AS (SELECT DISTINCT 'n' || c_nationkey AS module, c_mktsegment AS name FROM customer WHERE c_custkey % 7 < 3 AND c_nationkey % 4 > 0) SELECT module, name, module AS origin_module FROM l
+    UNION ALL SELECT 'r' || n_regionkey, name, min_by(module, n_nationkey) FROM l JOIN nation ON module = 'n' || n_nationkey GROUP BY n_regionkey, name""")
+def q36_export_closure(m: Model) -> DataFrame:
+    local = m.raw("customer").where("c_custkey % 7 < 3 AND c_nationkey % 4 > 0").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("module"), F.col("c_mktsegment").alias("name")).distinct()
+    star = m.raw("nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("module"), F.col("n_nationkey").alias("position"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("target"))
+    named = m.spark.createDataFrame([], "module string, name string, target string, target_name string")
+    return incremental.export_closure(local, named, star).select("module", "name", "origin_module")
+
+
+@query("""SELECT importer, specifier, CASE WHEN p_partkey % 3 = 0 THEN 'd/x' || p_partkey || '.ts' WHEN p_partkey % 3 = 1 AND p_partkey % 2 = 0 THEN 'x' || p_partkey || '/index.js' END AS target,
+    CASE WHEN p_partkey % 5 = 4 AND p_partkey % 3 = 2 THEN 'not_relative' WHEN p_partkey % 3 = 2 THEN 'climbs_above_root' WHEN p_partkey % 3 = 1 AND p_partkey % 2 = 1 THEN 'not_indexed' END AS reason
+    FROM (SELECT p_partkey, 'd/a.ts' AS importer, CASE p_partkey % 3 WHEN 0 THEN './x' || p_partkey WHEN 1 THEN '../x' || p_partkey ELSE CASE WHEN p_partkey % 5 = 4 THEN 'x' || p_partkey ELSE '../../x' || p_partkey END END AS specifier FROM part)""")
+def q44_import_resolution(m: Model) -> DataFrame:
+    k, name = F.col("p_partkey"), F.concat(F.lit("x"), F.col("p_partkey").cast("string"))
+    spec = F.when(k % 3 == 0, F.concat(F.lit("./"), name)).when(k % 3 == 1, F.concat(F.lit("../"), name)).when(k % 5 == 4, name).otherwise(F.concat(F.lit("../../"), name))
+    imports = m.raw("part").select(F.lit("d/a.ts").alias("importer"), spec.alias("specifier"))
+    paths = m.raw("part").where("p_partkey % 3 = 0").select(F.concat(F.lit("d/"), name, F.lit(".ts")).alias("path")).union(m.raw("part").where("p_partkey % 3 = 1 AND p_partkey % 2 = 0").select(F.concat(name, F.lit("/index.js"))))
+    return incremental.resolve_imports(imports, paths)
+
+
+@query(sql("""SELECT e.entity_id, e.kind, e.name, count(*) FILTER (a.source_id = e.entity_id) AS outgoing, count(*) FILTER (a.target_id = e.entity_id) AS incoming FROM entity e LEFT JOIN assertion a ON a.source_id = e.entity_id OR a.target_id = e.entity_id WHERE e.kind IN ('repository', 'directory') GROUP BY ALL""", "entity", "assertion"))
+def q10_entity_cards(m: Model) -> DataFrame:
+    n = lookup.relation_counts(m.assertion).groupBy("entity_id").agg(F.sum(F.when(F.col("side") == "outgoing", F.col("n")).otherwise(0)).alias("outgoing"), F.sum(F.when(F.col("side") == "incoming", F.col("n")).otherwise(0)).alias("incoming"))
+    rows = m.entity.where("kind IN ('repository', 'directory')").join(n, "entity_id", "left")
+    return rows.select("entity_id", "kind", "name", F.coalesce("outgoing", F.lit(0)).alias("outgoing"), F.coalesce("incoming", F.lit(0)).alias("incoming"))
