@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
 import pickle
+import shutil
 import sys
 import tempfile
 import uuid
@@ -58,6 +60,14 @@ def ngrams(h: np.ndarray, k: int) -> np.ndarray:
     return mix(acc)
 
 
+def give_back() -> None:
+    """Return free memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has such a call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidied(run, words: bool = False):
     """run for mapInArrow, after which the worker gives back what it held: workers are reused, and their memory adds up.
 
@@ -68,10 +78,7 @@ def tidied(run, words: bool = False):
         if not words:
             sys.__dict__.pop("_grovewright_words", None)
         yield from run(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        with contextlib.suppress(OSError, AttributeError):  # where the C library has such a call
-            ctypes.CDLL(None).malloc_trim(0)
+        give_back()
 
     return whole
 
@@ -120,6 +127,7 @@ def shared(spark: SparkSession) -> None:
             if not sc.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="grovewright-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
 
 

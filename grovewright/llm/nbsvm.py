@@ -21,10 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE, Shared, WordHash, fold, ngrams, part_of, raw, tidied
+from .common import CACHE, Shared, WordHash, fold, give_back, ngrams, part_of, raw, tidied
 
 BITS = 18
-FIT_ROWS = 8_000
+FIT_ROWS = 6_000
 KINDS = bytes(48 if 48 <= c < 58 else 65 if 65 <= c < 91 else 97 if 97 <= c < 123 or c > 127 else c for c in range(256))
 
 
@@ -142,7 +142,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, column: str =
         .collect()
     )
     got.sort(key=lambda r: (r["doc_id"], bytes(r["f"])))
-    return train([np.frombuffer(bytes(r["f"]), np.int32).astype(np.int64) for r in got], np.array([r["good"] for r in got], bool))
+    model = train([np.frombuffer(bytes(r["f"]), np.int32) for r in got], np.array([r["good"] for r in got], bool))
+    del got
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
