@@ -101,8 +101,11 @@ def windows(docs: DataFrame, bloom: Bloom, least: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(tidied(run), "h long, doc_id long, start int, src long, src_start int")
 
 
+RUNS = "array<struct<start:bigint,length:bigint,src_start:bigint>>"
+
+
 def runs(found: DataFrame, least: int) -> DataFrame:
-    """(doc_id, start, length in words, src, src_start): windows joined to runs, within a document."""
+    """(doc_id, src, n, runs): windows joined to runs (start, length in words, start in the source); one row for each pair of document and source."""
 
     def run(batches):
         for batch in batches:
@@ -120,11 +123,20 @@ def runs(found: DataFrame, least: int) -> DataFrame:
             new[1:] = (ids[1:] != ids[:-1]) | (start[1:] != start[:-1] + 1) | (src[1:] != src[:-1]) | (at[1:] != at[:-1] + 1)
             head = np.flatnonzero(new)
             length = np.diff(np.append(head, len(ids))) + least - 1
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[head], start[head], length, src[head], at[head])], names=["doc_id", "start", "length", "src", "src_start"])
+            ids, start, src, at = ids[head], start[head], src[head], at[head]
+            order = np.lexsort((start, src, ids))
+            ids, start, src, at, length = ids[order], start[order], src[order], at[order], length[order]
+            new = np.ones(len(ids), bool)
+            new[1:] = (ids[1:] != ids[:-1]) | (src[1:] != src[:-1])
+            head = np.flatnonzero(new)
+            rows = pa.StructArray.from_arrays([pa.array(start), pa.array(length), pa.array(at)], names=["start", "length", "src_start"])
+            offsets = pa.array(np.append(head, len(ids)).astype(np.int32))
+            n = np.add.reduceat(length, head) if len(head) else head
+            yield pa.RecordBatch.from_arrays([pa.array(ids[head]), pa.array(src[head]), pa.array(n), pa.ListArray.from_arrays(offsets, rows)], names=["doc_id", "src", "n", "runs"])
 
     # a document's windows, never more than its words
     by = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "src", "src_start")).alias("ws"))
-    return by.mapInArrow(tidied(run), "doc_id long, start long, length long, src long, src_start long")
+    return by.mapInArrow(tidied(run), f"doc_id long, src long, n long, runs {RUNS}")
 
 
 class Automaton:
@@ -188,22 +200,24 @@ class Automaton:
 
 def confirm(docs: DataFrame, found: DataFrame, least: int) -> DataFrame:
     """(doc_id, spans: array of first and last + 1 word) as the automata of the reference shards say."""
-    size = found.agg(F.sum("length").alias("n")).first()["n"] or 0
+    size = found.agg(F.sum("n").alias("n")).first()["n"] or 0
     shards = max(1, -(-size // (4 * SHARD_WORDS)))
     # a source's own main source, a few steps up, gathers what repeats one another
-    up = found.groupBy("doc_id", "src").agg(F.sum("length").alias("n")).groupBy("doc_id").agg(F.max_by("src", F.struct("n", "src")).alias("up"))
-    up = durable(up.withColumnRenamed("doc_id", "root"))
+    up = durable(found.groupBy(F.col("doc_id").alias("root")).agg(F.max_by("src", F.struct("n", "src")).alias("up")))
     roots = found.select("src", F.col("src").alias("root")).distinct()
     for _ in range(3):
         roots = roots.join(up, "root", "left").select("src", F.coalesce("up", "root").alias("root"))
     roots = durable(roots.withColumn("shard", F.pmod(F.xxhash64("root"), F.lit(shards))).drop("root"))
-    found = found.join(roots, "src")
-    loads = found.groupBy("shard").agg(F.sum("length").alias("n")).select("shard", F.greatest(F.lit(1), F.ceil(F.col("n") / (16 * SHARD_WORDS))).cast("long").alias("splits"))
-    found = found.join(loads, "shard").withColumn("split", F.pmod(F.xxhash64("src"), F.col("splits"))).drop("splits")
-    load = found.groupBy("shard", "split").agg(F.greatest(F.lit(1), F.ceil(F.sum("length") / LOAD_WORDS)).cast("long").alias("salts"))
-    found = stored(found.join(load, ["shard", "split"]).withColumn("key", F.col("shard") * 65536 + F.col("split")).drop("shard", "split"))
-    pieces = found.select("doc_id", F.struct(F.lit(0).alias("reference"), "key", F.pmod(F.xxhash64("doc_id"), F.col("salts")).alias("salt"), "start", "length"))
-    refs = found.select(F.col("src").alias("doc_id"), F.struct(F.lit(1).alias("reference"), "key", F.col("salts").alias("salt"), F.col("src_start").alias("start"), "length")).distinct()
+    sharded = found.join(roots, "src")
+    loads = sharded.groupBy("shard").agg(F.sum("n").alias("n")).select("shard", F.greatest(F.lit(1), F.ceil(F.col("n") / (16 * SHARD_WORDS))).cast("long").alias("splits"))
+    sharded = sharded.join(loads, "shard").withColumn("split", F.pmod(F.xxhash64("src"), F.col("splits"))).drop("splits")
+    load = sharded.groupBy("shard", "split").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / LOAD_WORDS)).cast("long").alias("salts"))
+    sharded = stored(sharded.join(load, ["shard", "split"]).withColumn("key", F.col("shard") * 65536 + F.col("split")).drop("shard", "split"))
+    part = lambda reference, salt, runs: F.struct(F.lit(reference).alias("reference"), "key", salt.alias("salt"), runs.alias("runs"))
+    pieces = sharded.select("doc_id", part(0, F.pmod(F.xxhash64("doc_id"), F.col("salts")), F.transform("runs", lambda r: F.struct(r["start"].alias("start"), r["length"].alias("length")))))
+    # many documents point to the same places of a source: each place once
+    refs = sharded.select("src", "key", "salts", F.explode("runs").alias("r")).select("src", "key", "salts", F.col("r.src_start").alias("start"), F.col("r.length").alias("length")).distinct()
+    refs = refs.groupBy("src", "key", "salts").agg(F.collect_list(F.struct("start", "length")).alias("runs")).select("src", part(1, F.col("salts"), F.col("runs")))
     wanted = pieces.union(refs).toDF("doc_id", "p").groupBy("doc_id").agg(F.collect_list("p").alias("ps"))
     wanted = durable(wanted)
     ids = wanted.select(F.xxhash64("doc_id").alias("h"))
@@ -218,7 +232,7 @@ def confirm(docs: DataFrame, found: DataFrame, least: int) -> DataFrame:
                     words = (t or b"").split()
                     spans: dict = {}
                     for p in ps:
-                        spans.setdefault((p["key"], p["salt"], p["reference"]), []).append((p["start"], p["start"] + p["length"]))
+                        spans.setdefault((p["key"], p["salt"], p["reference"]), []).extend((r["start"], r["start"] + r["length"]) for r in p["runs"])
                     for (key, salt, reference), each in spans.items():
                         each.sort()
                         joined = [list(each[0])]
@@ -267,7 +281,9 @@ def confirm(docs: DataFrame, found: DataFrame, least: int) -> DataFrame:
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "first": pa.array(lo, pa.int64()), "last": pa.array(hi, pa.int64())})
 
     spans = cutted.groupBy("key", "salt").applyInArrow(shard_task, "doc_id long, first long, last long")
-    return durable(spans.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("spans")))
+    out = durable(spans.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("spans")))
+    discard(sharded)
+    return out
 
 
 def repeated_spans(docs: DataFrame, least: int = 20) -> DataFrame:
@@ -279,7 +295,9 @@ def repeated_spans(docs: DataFrame, least: int = 20) -> DataFrame:
     found = heads.where("doc_id != src OR start != src_start").drop("h").union(rows.where("src IS NOT NULL").drop("h"))
     each = stored(runs(found, least))
     discard(rows)
-    return confirm(docs, each, least)
+    out = confirm(docs, each, least)
+    discard(each)
+    return out
 
 
 def copies(docs: DataFrame, least: int) -> DataFrame:
