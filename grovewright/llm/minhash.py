@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, WordHash, durable, mix, ngrams, raw, stored, tidied
+from .common import Bloom, WordHash, discard, durable, mix, ngrams, raw, stored, tidied
 from .components import connected_components
 
 ROWS, BANDS = 5, 40
@@ -245,7 +245,9 @@ def within(state: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percen
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept."""
+    """Per row: doc_id, n_shingles, component_id, kept. The bands are laid out for 80 percent or more."""
+    if percent < 80:
+        raise ValueError("percent must be 80 or more")
     sketch = stored(sketches(docs, k, id_column, text_column))
     known = sketch.where(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
     classes = stored(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")))
@@ -265,7 +267,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: s
     links = durable(within(durable(state.join(mixed, "cluster", "left_semi")), classes, docs, k, percent, id_column, text_column))
     apart = members.join(name(cluster, "comp"), "rep", "left").select("cell", "band", "rep", F.coalesce("comp", "rep").alias("comp"))
     several = apart.groupBy("cell").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("cell")
-    pairs = durable(across(stored(apart.join(several, "cell", "left_semi")), classes).join(couples, ["a", "b"], "left_anti"))
+    apart = stored(apart.join(several, "cell", "left_semi"))
+    pairs = durable(across(apart, classes).join(couples, ["a", "b"], "left_anti"))
+    discard(apart)
+    discard(members)
     links = links.union(verify(pairs, docs, k, percent, id_column, text_column).where("linked").select("a", "b"))
     side = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     more = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
@@ -274,12 +279,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: s
     named = named.join(above, "part", "left").select("key", F.coalesce("whole", "part").alias("component_id"))
     out = sketch.drop("sig").join(named, "key", "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out.stage_tables = [sketch, classes]  # to discard once the rows are kept elsewhere
+    return out
 
 
 def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs with one row of each group. Only rows that a filter on ids picks out are shuffled; the rest pass through."""
-    found = durable(near_duplicates(docs, k, percent).select("doc_id", "kept"))
+    found = near_duplicates(docs, k, percent)
+    tables, found = found.stage_tables, durable(found.select("doc_id", "kept"))
+    for t in tables:
+        discard(t)
     gone = found.where("NOT kept").select("doc_id").distinct()
     again = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     bloom = Bloom.build(gone.union(again).select(F.xxhash64("doc_id").alias("h")), "h")

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import crc, durable, raw, tidied
 
 CACHE = 200_000
-SALT_ROWS = 20_000
+SALT_ROWS = 2_000
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
