@@ -209,6 +209,12 @@ class Bloom:
         return df.select("*", F.xxhash64(column).alias("__hash")).mapInArrow(tidied(run), fields)
 
 
+def reclaim(spark: SparkSession) -> None:
+    """Let the driver collect garbage now, so that Spark deletes the shuffle files of steps that are done."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Like durable(), as compressed columns: for tables of many rows."""
     spark = df.sparkSession

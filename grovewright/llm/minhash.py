@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, WordHash, discard, durable, mix, ngrams, raw, stored, tidied
+from .common import Bloom, WordHash, discard, durable, mix, ngrams, raw, reclaim, stored, tidied
 from .components import connected_components
 
 ROWS, BANDS = 5, 40
@@ -258,6 +258,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: s
     members = stored(cells.join(heads, "cell"))  # cells of several classes only
     couples = durable(members.where("rep != head").select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct())
     near = durable(verify(couples, docs, k, percent, id_column, text_column))
+    reclaim(docs.sparkSession)
     comp = connected_components(near.where("linked"))
     cluster = connected_components(near)
     name = lambda df, c: df.select(F.col("node").alias("rep"), F.col("component").alias(c))
@@ -271,6 +272,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: s
     pairs = durable(across(apart, classes).join(couples, ["a", "b"], "left_anti"))
     discard(apart)
     discard(members)
+    reclaim(docs.sparkSession)
     links = links.union(verify(pairs, docs, k, percent, id_column, text_column).where("linked").select("a", "b"))
     side = lambda c: comp.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
     more = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
@@ -290,6 +292,7 @@ def deduplicate(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     tables, found = found.stage_tables, durable(found.select("doc_id", "kept"))
     for t in tables:
         discard(t)
+    reclaim(docs.sparkSession)
     gone = found.where("NOT kept").select("doc_id").distinct()
     again = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     bloom = Bloom.build(gone.union(again).select(F.xxhash64("doc_id").alias("h")), "h")

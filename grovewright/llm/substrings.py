@@ -36,7 +36,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Bloom, WordHash, discard, durable, ngrams, raw, stored, tidied
+from .common import Bloom, WordHash, discard, durable, ngrams, raw, reclaim, stored, tidied
 
 BITS = 27  # of the filter of anchors: 16 MB
 SHARD_WORDS = 40_000
@@ -290,13 +290,17 @@ def repeated_spans(docs: DataFrame, least: int = 20) -> DataFrame:
     """(doc_id, spans) for the documents, of texts that all differ, that repeat something earlier."""
     bloom = Bloom.build(repeated_anchors(docs, least), "h", BITS)
     rows = stored(windows(docs, bloom, least))
+    reclaim(docs.sparkSession)
     order = Window.partitionBy("h").orderBy("doc_id", "start")  # a row a batch at most
     heads = rows.where("src IS NULL").select("h", "doc_id", "start", F.first("doc_id").over(order).alias("src"), F.first("start").over(order).alias("src_start"))
     found = heads.where("doc_id != src OR start != src_start").drop("h").union(rows.where("src IS NOT NULL").drop("h"))
     each = stored(runs(found, least))
     discard(rows)
+    del rows, order, heads, found
+    reclaim(docs.sparkSession)
     out = confirm(docs, each, least)
     discard(each)
+    reclaim(docs.sparkSession)
     return out
 
 
