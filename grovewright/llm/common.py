@@ -83,6 +83,20 @@ def tidied(run, words: bool = False):
     return whole
 
 
+def tidied_groups(f, every: int = 32):
+    """f for applyInArrow; memory is given back now and then."""
+    done = [0]
+
+    def one(t):
+        out = f(t)
+        done[0] += 1
+        if done[0] % every == 0:
+            give_back()
+        return out
+
+    return one
+
+
 def raw(column: pa.Array) -> list[bytes | None]:
     """A string column as UTF-8 bytes."""
     return column.cast(pa.binary()).to_pylist()

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, WordHash, discard, durable, mix, ngrams, raw, reclaim, stored, tidied
+from .common import Bloom, WordHash, discard, durable, mix, ngrams, raw, reclaim, stored, tidied, tidied_groups
 from .components import connected_components
 
 ROWS, BANDS = 5, 40
@@ -204,7 +204,7 @@ def across(state: DataFrame, classes: DataFrame) -> DataFrame:
         pairs = sorted(out)
         return pa.table({"a": pa.array([a for a, _ in pairs], t.column("rep").type), "b": pa.array([b for _, b in pairs], t.column("rep").type)})
 
-    return dealt(state, "cell").join(classes.select("rep", "sig"), "rep").groupBy("cell", "i", "j").applyInArrow(run, f"a {kind}, b {kind}").distinct()
+    return dealt(state, "cell").join(classes.select("rep", "sig"), "rep").groupBy("cell", "i", "j").applyInArrow(tidied_groups(run, 256), f"a {kind}, b {kind}").distinct()
 
 
 def within(state: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, id_column: str, text_column: str) -> DataFrame:
@@ -241,7 +241,7 @@ def within(state: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percen
                     b.append(names[y])
         return pa.table({"a": pa.array(a, t.column("rep").type), "b": pa.array(b, t.column("rep").type)})
 
-    return rows.groupBy("cluster", "i", "j").applyInArrow(run, f"a {kind}, b {kind}")
+    return rows.groupBy("cluster", "i", "j").applyInArrow(tidied_groups(run), f"a {kind}, b {kind}")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

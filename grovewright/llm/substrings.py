@@ -36,7 +36,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Bloom, WordHash, discard, durable, ngrams, raw, reclaim, stored, tidied
+from .common import Bloom, WordHash, discard, durable, ngrams, raw, reclaim, stored, tidied, tidied_groups
 
 BITS = 27  # of the filter of anchors: 16 MB
 SHARD_WORDS = 40_000
@@ -280,7 +280,7 @@ def confirm(docs: DataFrame, found: DataFrame, least: int) -> DataFrame:
                 ids.append(d), lo.append(span[0]), hi.append(span[1])
         return pa.table({"doc_id": pa.array(ids, pa.int64()), "first": pa.array(lo, pa.int64()), "last": pa.array(hi, pa.int64())})
 
-    spans = cutted.groupBy("key", "salt").applyInArrow(shard_task, "doc_id long, first long, last long")
+    spans = cutted.groupBy("key", "salt").applyInArrow(tidied_groups(shard_task, 8), "doc_id long, first long, last long")
     out = durable(spans.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("spans")))
     discard(sharded)
     return out
