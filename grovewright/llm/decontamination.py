@@ -3,11 +3,14 @@
 The test items are a stated query set; they are taken in blocks of at most BLOCK_WORDS
 words, each of which goes to all executors, so what is broadcast has a proven bound. For
 every block the corpus is read twice: to count in how many documents each word n-gram of
-the items occurs, and to look for seeds. An item's seeds are its RARE rarest n-grams and
-all others not much more frequent than these, so that phrases common in the corpus seed
-nothing while an item that leaked a thousand times keeps its seeds. Around each seed hit
-the passage is aligned with the item by words (match +2, mismatch and gap -1); the score
-is the share of the item's words that match in the best local alignment.
+the items occurs, and to look for seeds. An item's rare seeds are its RARE rarest n-grams and
+all others not much more frequent than these; they seed wherever they stand. Its other
+n-grams seed too, but only in documents that hold SHARE / 2 of the item's words: in any
+other no alignment can be reported, so nothing is lost while phrases common in the corpus
+cost one count a document. Around each seed hit the passage is aligned with the item by
+words (match +2, mismatch and gap -1); the score is the share of the item's words that
+match in the best local alignment, 0 below SHARE / 2. A passage that keeps no N words of
+an item in a row (one in N changed throughout) has no seed and scores 0.
 
 Null, empty and short texts align with nothing (score 0). Items with fewer words than an
 n-gram seed with all they have; empty and null items are left out. Repeated rows get a
@@ -31,6 +34,7 @@ N = 3
 RARE = 12
 BLOCK_WORDS = 2_000_000
 SHARE = 0.6
+SMALL = 1 << 16  # words by words that are compared at once rather than sorted
 EDGE = bytes(sorted(set(range(128)) - set(b"abcdefghijklmnopqrstuvwxyz0123456789")))
 SPLIT = re.compile(rb"[ \t\n\x0b\x0c\r]+")
 
@@ -52,14 +56,17 @@ def align(item: np.ndarray, text: np.ndarray, match: int = 2, cost: int = 1) ->
     A row is one vector operation: gaps along the row come from a running maximum.
     """
     n, m = len(item), len(text)
-    along = cost * np.arange(m + 1)
+    along = (cost * np.arange(m + 1)).astype(np.int32)
     h = np.zeros((n + 1, m + 1), np.int32)
     same = item[:, None] == text[None, :]
+    gain = np.where(same, np.int32(match), np.int32(-cost))
     for i in range(n):
-        row = np.zeros(m + 1, np.int64)
-        np.maximum(h[i, :-1] + np.where(same[i], match, -cost), h[i, 1:] - cost, out=row[1:])
+        row = h[i + 1]
+        np.maximum(h[i, :-1] + gain[i], h[i, 1:] - np.int32(cost), out=row[1:])
         np.maximum(row, 0, out=row)
-        h[i + 1] = np.maximum.accumulate(row + along) - along
+        row += along
+        np.maximum.accumulate(row, out=row)
+        row -= along
     i, j = divmod(int(h.argmax()), m + 1)
     matched, end = 0, j
     while i and j and h[i, j] > 0:
@@ -84,17 +91,35 @@ class Items:
         self.grams = [ngrams(w, min(N, len(w))) for w in self.words]
         self.every = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.grams]))
         self.short = sorted({len(w) for w in self.words if len(w) < N})
-        self.places: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        self.vocabulary, self.flat = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.words]), return_inverse=True)
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.offset = np.cumsum(self.size) - self.size  # of an item's words in flat
 
     def choose(self, frequency: np.ndarray) -> None:
-        """Keep the seeds, given the number of documents for each of self.every."""
+        """Set up the seeds, given the number of documents for each of self.every: each n-gram with its items, positions, and whether it is rare in the item."""
+        grams, item, at, rare = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
         for k, g in enumerate(self.grams):
             f = frequency[np.searchsorted(self.every, g)]
             seen = np.sort(f[f > 0])
             limit = 4 * max(1, seen[min(RARE, len(seen)) - 1]) if len(seen) else 0
-            for p in np.flatnonzero(f <= limit):
-                self.places[int(g[p])].append((k, int(p)))
-        self.seeds = np.array(sorted(self.places), np.uint64)
+            grams.append(g)
+            item.append(np.full(len(g), k))
+            at.append(np.arange(len(g)))
+            rare.append(f <= limit)
+        grams = np.concatenate(grams)
+        order = np.argsort(grams, kind="stable")
+        self.item, self.at, self.rare = (np.concatenate(x)[order] for x in (item, at, rare))
+        self.seeds, self.first, self.times = np.unique(grams[order], return_index=True, return_counts=True)
+
+    def enough(self, h: np.ndarray, items: np.ndarray) -> np.ndarray:
+        """Which of the items have so many of their words in the text that an alignment can reach SHARE / 2."""
+        there = np.zeros(len(self.vocabulary), bool)
+        at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
+        there[at[self.vocabulary[at] == h]] = True
+        size = self.size[items]
+        begins = np.cumsum(size) - size
+        words = self.flat[np.arange(size.sum()) + np.repeat(self.offset[items] - begins, size)]
+        return np.add.reduceat(there[words].astype(np.int64), begins) / size >= SHARE / 2
 
     def found(self, h: np.ndarray, table: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """(positions, n-grams) of a text's n-grams that the table holds."""
@@ -112,9 +137,15 @@ class Items:
         """(item, share of its words matched, first and last + 1 word) for every item with a seed in the text."""
         windows: dict[int, list[int]] = defaultdict(list)
         for hits, grams in self.found(h, self.seeds):
-            for pos, g in zip(hits.tolist(), grams.tolist()):
-                for k, p in self.places[g]:
-                    windows[k].append(pos - p)
+            seed = np.searchsorted(self.seeds, grams)
+            times = self.times[seed]
+            each = np.arange(times.sum()) + np.repeat(self.first[seed] - (np.cumsum(times) - times), times)
+            item, start, rare = self.item[each], np.repeat(hits, times) - self.at[each], self.rare[each]
+            if not rare.all():
+                tested, of = np.unique(item[~rare], return_inverse=True)
+                rare[~rare] = self.enough(h, tested)[of]
+            for k, s in zip(item[rare].tolist(), start[rare].tolist()):
+                windows[k].append(s)
         out = []
         for k, starts in windows.items():
             item = self.words[k]
@@ -126,8 +157,10 @@ class Items:
                 while hi + 1 < len(starts) and starts[hi + 1] - starts[hi] <= slack and starts[hi + 1] - starts[lo] <= 4 * len(item) + 8:
                     hi += 1
                 a, b = max(0, starts[lo] - slack), min(len(h), starts[hi] + len(item) + slack)
-                if np.isin(item, h[a:b]).mean() >= max(tops[0], SHARE / 2):  # else no alignment can be better
-                    matched, x, y = align(item, h[a:b])
+                near = h[a:b]
+                held = (item[:, None] == near).any(axis=1) if len(item) * len(near) <= SMALL else np.isin(item, near)
+                if held.mean() >= max(tops[0], SHARE / 2):  # else no alignment can be better
+                    matched, x, y = align(item, near)
                     tops = max(tops, (matched / len(item), a + x, a + y))
                 lo = hi + 1
             if tops[0] > 0:

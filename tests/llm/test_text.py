@@ -65,6 +65,19 @@ def test_hot_item(spark):
     assert got.where("doc_id >= 1000 and contaminated").count() == 400
 
 
+def test_edited_copies_beside_a_whole_one(spark):
+    """The n-grams that the copies share are far more frequent than those of the whole copy."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("klmnopqrst") for _ in range(7))
+    item = [word() for _ in range(40)]
+    edited = lambda: [word() if i % 4 == 3 else w for i, w in enumerate(item)]
+    docs = [(0, " ".join(item))] + [(d, " ".join([word() for _ in range(30)] + edited() + [word() for _ in range(30)])) for d in range(1, 201)]
+    docs += [(1000 + d, " ".join([word() for _ in range(60)] + item[:3])) for d in range(200)]  # a phrase of it is no leak
+    got = {r.doc_id: r for r in dc.flag(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()}
+    assert {d for d, r in got.items() if r.contaminated} == set(range(201))
+    assert got[0].score == 1 and all(got[d].score == 0.75 for d in range(1, 201)) and all(got[d].score == 0 for d in range(1000, 1200))
+
+
 def test_decontamination_odd(spark, odd_docs, empty_docs):
     bench = spark.createDataFrame([(1, None), (2, " "), (3, "one two three")], "item_id long, text string")
     got = dc.flag(odd_docs, bench).collect()
