@@ -4,9 +4,10 @@ A page is read as a sequence of tags and runs of words. Each word has a weight t
 depends on the element it stands in, each tag one that depends on its name; both come
 from labelled pages (pages whose markup names exactly one main element), as log-odds of
 standing inside against outside, over all such pages. A linear scan finds the contiguous
-region with the highest sum. Within it, elements that never belong to an article (menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of
-readers) are left out.
+region with the highest sum. Elements that never belong to an article (menus, headers,
+footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers) are left
+out of it; their words and tags weigh nothing, so that one inside an article, however
+long, doesn't part it.
 
 Null, empty and word-free pages give an empty text. Repeated rows get a row each. Pages
 are of any length; unclosed and stray tags are allowed. Without labelled pages, fixed
@@ -58,7 +59,8 @@ def tokens(html: str):
     """(kind, name, text, words' element): kind 't' is text, 'o' an opening and 'c' a closing tag.
 
     The element of text is the innermost block that encloses it; "-" before it says that
-    it lies in an element without main text.
+    it lies in an element without main text. So it does for tags, those of such an element
+    among them.
     """
     stack: list[tuple[str, bool]] = []  # name, whether it or one around it is barred
     at, n = 0, len(html)
@@ -91,8 +93,8 @@ def tokens(html: str):
                     pass
                 element = innermost()
             continue
-        yield "o", name, "", element
         if name in VOID or m[3].endswith("/"):
+            yield "o", name, "", "-" + element.removeprefix("-") if name in NEVER or marked(name, m[3]) else element
             continue
         if name in ("p", "li", "dt", "dd", "tr", "td", "th", "option") or name in BLOCKS and stack and stack[-1][0] == "p":
             while stack and stack[-1][0] not in BLOCKS or stack and stack[-1][0] == "p":  # an open paragraph ends here, and so do the spans in it
@@ -102,16 +104,17 @@ def tokens(html: str):
         barred = name in NEVER or bool(stack and stack[-1][1]) or marked(name, m[3])
         stack.append((name, barred))
         element = innermost()
+        yield "o", name, "", element
         if name in RAW:
             close = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
             end = close.start() if close else n
             if name == "title":
                 yield "t", "", html[at:end], element
             at = close.end() if close else n
-            stack.pop()
-            element = innermost()
             if close:
                 yield "c", name, "", element
+            stack.pop()
+            element = innermost()
 
 
 def counted(html: str) -> Counter:
@@ -152,8 +155,6 @@ class Weights:
                 self.tags[f[2:]] = max(-0.5, min(-0.02, (odds - 1) / 4))
 
     def word(self, element: str) -> float:
-        if element.startswith("-"):
-            return min(self.words.get(element, -1.0), 0.0)
         return self.words.get(element, 0.1)
 
     def tag(self, name: str) -> float:
@@ -164,6 +165,8 @@ def region(seq: list, weights: Weights) -> tuple[int, int]:
     """First and last + 1 of the tokens with the highest sum; (0, 0) if none is positive."""
     best, span, total, start = 0.0, (0, 0), 0.0, 0
     for i, (kind, name, text, element) in enumerate(seq):
+        if element.startswith("-"):  # left out of the text in any case
+            continue
         total += weights.word(element) * len(text.split()) if kind == "t" else weights.tag(name)
         if total <= 0:
             total, start = 0.0, i + 1

@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 from html import unescape
 
 import numpy as np
@@ -110,3 +111,16 @@ def test_hard_page(spark):
     assert got[1].split("\n") == ["Head & line", "First bold words, a < b and 3 > 2 here.", "Second one with break é.", "Point one here", "Point two here", "Last of all words in it."]
     assert got[2] == got[3] == got[4] == got[7] == "" and got[5] == "plain words only" and "x y z" in got[6]
     assert html.extract(df.limit(0)).count() == 0
+
+
+def test_long_inserts():
+    """Barred elements in an article, longer than what stands before or after them."""
+    words = lambda n, w: " ".join(f"{w}{i}" for i in range(n))
+    counts = Counter()
+    for _ in range(50):
+        counts.update(html.counted(f"<body><nav>{words(9, 'n')}</nav><div class=ad>{words(40, 'a')}</div><article><h1>{words(8, 'h')}</h1><p>{words(90, 'p')}</p></article><div>{words(20, 'd')}</div><footer>{words(9, 'f')}</footer></body>"))
+    weights = html.Weights(counts)
+    head, lead, middle, last = words(11, "h"), words(30, "l"), words(40, "m"), words(12, "z")
+    for insert in (f"<div class=ad>{words(300, 'x')}</div>", f"<aside><p>{words(300, 'x')}</p></aside>", f"<form><label>{words(200, 'x')}</label><input><input></form>", "<script>x</script><div class=promo><img/><br/></div>" * 60):
+        page = f"<body><nav>{words(9, 'n')}</nav><article><h1>{head}</h1>{insert}<p>{lead}</p>{insert}<p>{middle}</p>{insert}<p>{last}</p></article><div>{words(20, 'd')}</div>{insert}</body>"
+        assert html.main_text(page, weights).split("\n") == [head, lead, middle, last]
