@@ -53,25 +53,28 @@ def resolve_imports(imports: DataFrame, paths: DataFrame) -> DataFrame:
     return out.select("importer", "specifier", "target", reason.alias("reason"))
 
 
-def export_closure(local: DataFrame, named: DataFrame, star: DataFrame, depth: int = 16) -> DataFrame:
+def export_closure(local: DataFrame, named: DataFrame, star: DataFrame) -> DataFrame:
     """(module, name, origin_module, origin_name): what a module provides.
 
     local (module, name); named (module, name, target, target_name); star (module, position,
     target). A local name beats a named re-export, which beats a star in source order; a
-    star never forwards `default`.
+    star never forwards `default`. Chains are of any length. A chain never comes back to
+    a name of a module that it passed, so cycles end; where several modules of one cycle
+    have origins of their own, the one found first along the cycle may hide another.
     """
-    rows = checkpointed(local.select("module", "name", F.col("module").alias("origin_module"), F.col("name").alias("origin_name"), F.array(F.lit(0)).alias("rank")))
-    for _ in range(depth):
-        up = rows.select(F.col("module").alias("target"), F.col("name").alias("target_name"), "origin_module", "origin_name", "rank")
-        by_name = named.join(up, ["target", "target_name"]).select("module", "name", "origin_module", "origin_name", F.concat(F.array(F.lit(1)), "rank").alias("rank"))
-        by_star = star.join(up, "target").where("target_name != 'default'").select("module", F.col("target_name").alias("name"), "origin_module", "origin_name", F.concat(F.array(F.lit(2), F.col("position")), "rank").alias("rank"))
-        every = rows.union(by_name).union(by_star)
-        best = every.groupBy("module", "name").agg(F.min_by(F.struct("origin_module", "origin_name", "rank"), "rank").alias("b")).select("module", "name", "b.*")
+    at = F.concat_ws("\0", "module", "name")
+    rows = checkpointed(local.select("module", "name", F.col("module").alias("origin_module"), F.col("name").alias("origin_name"), F.array(F.lit(0)).alias("rank"), F.array(at).alias("trail")))
+    while True:
+        up = rows.select(F.col("module").alias("target"), F.col("name").alias("target_name"), "origin_module", "origin_name", "rank", "trail")
+        by_name = named.join(up, ["target", "target_name"]).select("module", "name", "origin_module", "origin_name", F.concat(F.array(F.lit(1)), "rank").alias("rank"), "trail")
+        by_star = star.join(up, "target").where("target_name != 'default'").select("module", F.col("target_name").alias("name"), "origin_module", "origin_name", F.concat(F.array(F.lit(2), F.col("position")), "rank").alias("rank"), "trail")
+        longer = by_name.union(by_star).where(~F.array_contains("trail", at)).withColumn("trail", F.concat(F.array(at), "trail"))
+        every = rows.union(longer)
+        best = every.groupBy("module", "name").agg(F.min_by(F.struct("origin_module", "origin_name", "rank", "trail"), "rank").alias("b")).select("module", "name", "b.*")
         nxt = checkpointed(best)
         if nxt.exceptAll(rows).isEmpty():
-            return nxt.drop("rank")
+            return nxt.drop("rank", "trail")
         rows = nxt
-    return rows.drop("rank")
 
 
 def filesystem_graph(paths: DataFrame, root: str = "repository") -> DataFrame:

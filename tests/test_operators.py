@@ -242,6 +242,15 @@ def test_incremental(spark):
     assert rows(incremental.greedy_claims(pairs)) == [("g", "a", "x"), ("g", "b", "y")]
 
 
+def test_export_chains(spark):
+    """A chain of 18 re-exports, and two modules that forward each other."""
+    local = spark.createDataFrame([("m0", "x"), ("c", "y"), ("d", "y")], "module string, name string")
+    named = spark.createDataFrame([], "module string, name string, target string, target_name string")
+    star = spark.createDataFrame([*[(f"m{i}", 0, f"m{i - 1}") for i in range(1, 19)], ("a", 0, "b"), ("a", 1, "d"), ("b", 0, "a"), ("b", 1, "c")], "module string, position int, target string")
+    out = {(r.module, r.name): r.origin_module for r in incremental.export_closure(local, named, star).collect()}
+    assert out == {("c", "y"): "c", ("d", "y"): "d", ("a", "y"): "c", ("b", "y"): "d"} | {(f"m{i}", "x"): "m0" for i in range(19)}
+
+
 def test_streamed_evidence_equals_batch(spark, tmp_path):
     snap, _ = make(spark)
     snap["observation"].repartition(3).write.parquet(str(tmp_path / "in"))
