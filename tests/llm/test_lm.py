@@ -71,6 +71,14 @@ def test_normalised(spark):
         assert math.isclose(m, mass[c] + unknown, rel_tol=1e-9)
 
 
+def test_sizes():
+    """The context reaches three words back; 128 words and 63 endings are classes of their own."""
+    model = lm.Model(np.eye(8, lm.DIM, dtype=np.float32), np.ones((lm.CONTEXT, lm.DIM), np.float32), *[np.zeros(1, np.float32)] * 2)
+    near, far = np.array([1, *[2] * 3]), np.array([5, *[2] * 3])
+    assert not np.array_equal(model.contexts(near, np.array([3]))[1], model.contexts(far, np.array([3]))[1])
+    assert lm.TOP >= 128 and lm.ENDINGS >= 63
+
+
 def test_step_follows_the_gradient():
     """A numeric derivative of the objective against the update's direction."""
     rng = np.random.default_rng(0)
