@@ -158,6 +158,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """name, or a longer one that df has no column of."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 class Bloom:
     """A Bloom filter of fixed size over well-mixed 64-bit hashes: false positives only.
 
@@ -216,11 +224,11 @@ class Bloom:
             bloom = Bloom(bits, held.value)
             for batch in batches:
                 has = bloom.has(batch.column(len(names)).to_numpy(zero_copy_only=False))
-                kept = batch.select(names).filter(pa.array(has if inside else ~has))
+                kept = pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names).filter(pa.array(has if inside else ~has))
                 if kept.num_rows:
                     yield kept
 
-        return df.select("*", F.xxhash64(column).alias("__hash")).mapInArrow(tidied(run), fields)
+        return df.withColumn(free(df, "hash"), F.xxhash64(column)).mapInArrow(tidied(run), fields)
 
 
 def reclaim(spark: SparkSession) -> None:

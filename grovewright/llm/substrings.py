@@ -1,27 +1,31 @@
-"""Substring dedup: suffix automata of reference shards confirm and cut repeated spans.
+"""Substring dedup: suffix automata of reference shards find and cut repeated spans.
 
 A word goes if a window of `least` words covers it whose sequence also starts earlier.
 Streaming every document past the automata of all shards would cost documents times
-shards, so two linear passes first find which shard can hold a document's spans:
+shards, so linear passes first find which reference text can hold a document's spans:
 
-0. Texts equal to an earlier one, by a hash of the whole text, go whole and are set aside.
+0. Of equal texts (by SHA-256) the first stands for all; the others are routed to it.
 1. Every window of `least` words has a winnowing anchor (its least K-gram hash), and equal
    windows have equal anchors. A count of anchors, summed before the shuffle, shows those
    that occur twice; they go into a Bloom filter of fixed size.
-2. Windows with such an anchor are hashed; of equal windows in a batch only the first is
-   shuffled, so a hot passage brings one row a batch. The least position of each hash
-   becomes the source of all others; neighbours with neighbouring sources are one run.
-3. The texts of the sources form reference shards. Sources that repeat one another share a
-   shard, unless it would get too large. For each shard, a suffix automaton with first
-   positions is built, and the pieces of documents whose runs point into it are streamed
-   for matching statistics: a span is removed where the automaton matches at least
-   `least` words at an earlier position. A shard that many pieces point into is broadcast
-   to as many tasks as its load asks for.
-
-Within texts, only spans that an automaton has confirmed are removed, so a clash of window
-hashes removes nothing. Null, empty and short texts keep all words. Rows with a null id are left as they
-are; rows that repeat an id are each cut as their id says (texts of one id are taken to be
-equal). Extra columns pass through. An empty table gives an empty result.
+2. Windows with such an anchor are hashed (96 bits); of equal windows in a batch only the
+   first is shuffled, so a hot passage brings one row a batch. The least position of each
+   hash becomes the source of all others; neighbours with neighbouring sources are one run.
+3. Source texts, in blocks of BLOCK words that overlap by `least` - 1, form the reference
+   shards: the places of a block that any run points to, merged in each task before they
+   are shuffled. For each shard a suffix automaton with first positions is built, and the
+   pieces of documents routed to it are streamed for matching statistics: a span goes where
+   the automaton matches at least `least` words at an earlier position. A block that more
+   than LOAD_WORDS words point to is a shard of its own, sent to as many tasks as its load
+   asks for; the others are dealt out to shards by hash.
+
+Only spans that an automaton has found are removed, whole copies included, so a clash of
+hashes removes nothing. Earlier is: a smaller doc_id, or an earlier start. Ids that aren't
+integers are ordered by a 64-bit hash. Rows that repeat an id and a text are one document
+and each cut alike; with an id but not its text in common, rows are documents of their own
+in an order by a hash of the text. Null, empty and short texts keep all words. Rows with a
+null id are left as they are and are no source. Texts of any length are taken whole. Extra
+columns pass through, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,12 +39,14 @@ import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import Bloom, WordHash, discard, durable, ngrams, raw, reclaim, stored, tidied, tidied_groups
+from .common import Bloom, WordHash, discard, durable, free, ngrams, raw, reclaim, stored, tidied, tidied_groups
 
 BITS = 27  # of the filter of anchors: 16 MB
-SHARD_WORDS = 40_000
-LOAD_WORDS = 400_000
+BLOCK = 32_768  # words of a reference text
+LOAD_WORDS = 400_000  # that are streamed past a shard, about
+TURNS = 16
 SLICE = 2500  # documents of which equal windows are found before the shuffle
 SPANS = "array<struct<first:bigint,last:bigint>>"
 WORD = re.compile(rb"[^ \t\n\x0b\x0c\r]+")
@@ -71,72 +77,158 @@ def repeated_anchors(docs: DataFrame, least: int) -> DataFrame:
 
 
 def windows(docs: DataFrame, bloom: Bloom, least: int) -> DataFrame:
-    """Windows that may be repeated: h, doc_id, start; the source if it is in the same batch."""
+    """Windows that may be repeated: h, check (two hashes), doc_id, tie, start; the source if it is in the same batch."""
     held, bits = docs.sparkSession.sparkContext.broadcast(bloom.data), bloom.bits
 
     def run(batches):
         hashed, bloom = WordHash(), Bloom(bits, held.value)
         for batch in (b.slice(lo, SLICE) for b in batches for lo in range(0, b.num_rows, SLICE)):
-            hs, ds, ss = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for d, t in zip(batch.column(0).to_pylist(), raw(batch.column(1))):
+            hs, cs, ss, size, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [], []
+            for i, t in enumerate(raw(batch.column(2))):
                 h = hashed.of((t or b"").split())
                 g, at = anchors(h, least)
                 s = np.flatnonzero(bloom.has(g)[at]) if len(at) else at
                 if len(s):
                     hs.append(ngrams(h, least)[s])
-                    ds.append(np.full(len(s), d, np.int64))
+                    cs.append((ngrams(h ^ (h >> np.uint64(32)), least)[s] >> np.uint64(32)).astype(np.uint32).view(np.int32))
                     ss.append(s)
-            h, d, s = np.concatenate(hs), np.concatenate(ds), np.concatenate(ss)
-            order = np.lexsort((s, d, h))
-            h, d, s = h[order], d[order], s[order]
+                    size.append(len(s))
+                    rows.append(i)
+            rows, size = np.array(rows, np.int64), np.array(size, np.int64)
+            ids, ties = batch.column(0).to_numpy()[rows], batch.column(1).to_numpy()[rows]
+            d, t = np.repeat(ids, size), np.repeat(ties, size)
+            h, c, s = np.concatenate(hs), np.concatenate(cs), np.concatenate(ss)
+            order = np.lexsort((s, t, d, c, h))
+            h, c, d, t, s = h[order], c[order], d[order], t[order], s[order]
             head = np.ones(len(h), bool)
-            head[1:] = h[1:] != h[:-1]
+            head[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
             first = np.maximum.accumulate(np.where(head, np.arange(len(h)), 0))
-            same = head | ((d == d[first]) & (s == s[first]))
+            same = head | ((d == d[first]) & (t == t[first]) & (s == s[first]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h.view(np.int64)), pa.array(d), pa.array(s.astype(np.int32)), pa.array(d[first], mask=same), pa.array(s[first].astype(np.int32), mask=same)],
-                names=["h", "doc_id", "start", "src", "src_start"],
+                [pa.array(h.view(np.int64)), pa.array(c), pa.array(d), pa.array(t), pa.array(s.astype(np.int32)), pa.array(d[first], mask=same), pa.array(t[first], mask=same), pa.array(s[first].astype(np.int32), mask=same)],
+                names=["h", "check", "doc_id", "tie", "start", "src", "src_tie", "src_start"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(tidied(run), "h long, doc_id long, start int, src long, src_start int")
+    return docs.select("doc_id", "tie", "text").mapInArrow(tidied(run), "h long, check int, doc_id long, tie int, start int, src long, src_tie int, src_start int")
 
 
 RUNS = "array<struct<start:bigint,length:bigint,src_start:bigint>>"
+PLACES = "array<struct<first:bigint,last:bigint>>"
+SOURCE = ["src", "src_tie", "block"]
 
 
 def runs(found: DataFrame, least: int) -> DataFrame:
-    """(doc_id, src, n, runs): windows joined to runs (start, length in words, start in the source); one row for each pair of document and source."""
+    """(doc_id, tie, src, src_tie, block, n, runs): windows joined to runs (start, length in words, start in the source); one row for each pair of document and block of a source."""
+
+    def changes(*columns) -> np.ndarray:
+        out = np.ones(len(columns[0]), bool)
+        out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+        return out
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(1)
+            lists = batch.column(2)
             flat = lists.flatten()
-            size = np.diff(lists.offsets.to_numpy())
-            ids = np.repeat(batch.column(0).to_numpy(), size)
-            start, src, at = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
-            order = np.lexsort((at, src, start, ids))
-            ids, start, src, at = ids[order], start[order], src[order], at[order]
-            one = np.ones(len(ids), bool)  # of several sources of a window (from rows that repeat), the first
-            one[1:] = (ids[1:] != ids[:-1]) | (start[1:] != start[:-1])
-            ids, start, src, at = ids[one], start[one], src[one], at[one]
-            new = np.ones(len(ids), bool)
-            new[1:] = (ids[1:] != ids[:-1]) | (start[1:] != start[:-1] + 1) | (src[1:] != src[:-1]) | (at[1:] != at[:-1] + 1)
-            head = np.flatnonzero(new)
-            length = np.diff(np.append(head, len(ids))) + least - 1
-            ids, start, src, at = ids[head], start[head], src[head], at[head]
-            order = np.lexsort((start, src, ids))
-            ids, start, src, at, length = ids[order], start[order], src[order], at[order], length[order]
-            new = np.ones(len(ids), bool)
-            new[1:] = (ids[1:] != ids[:-1]) | (src[1:] != src[:-1])
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            start, src, tie, at = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
+            order = np.lexsort((at, tie, src, start, row))
+            row, start, src, tie, at = (x[order] for x in (row, start, src, tie, at))
+            one = changes(row, start)  # of several sources of a window (from rows that repeat), the first
+            row, start, src, tie, at = (x[one] for x in (row, start, src, tie, at))
+            block = at // BLOCK
+            new = changes(row, src, tie, block, at - start)
+            new[1:] |= start[1:] != start[:-1] + 1
             head = np.flatnonzero(new)
-            rows = pa.StructArray.from_arrays([pa.array(start), pa.array(length), pa.array(at)], names=["start", "length", "src_start"])
-            offsets = pa.array(np.append(head, len(ids)).astype(np.int32))
+            length = np.diff(np.append(head, len(row))) + least - 1
+            row, start, src, tie, at, block = (x[head] for x in (row, start, src, tie, at, block))
+            order = np.lexsort((start, block, tie, src, row))
+            row, start, src, tie, at, block, length = (x[order] for x in (row, start, src, tie, at, block, length))
+            head = np.flatnonzero(changes(row, src, tie, block))
+            each = pa.StructArray.from_arrays([pa.array(start), pa.array(length), pa.array(at)], names=["start", "length", "src_start"])
+            offsets = pa.array(np.append(head, len(row)).astype(np.int32))
             n = np.add.reduceat(length, head) if len(head) else head
-            yield pa.RecordBatch.from_arrays([pa.array(ids[head]), pa.array(src[head]), pa.array(n), pa.ListArray.from_arrays(offsets, rows)], names=["doc_id", "src", "n", "runs"])
+            of = pa.array(row[head])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(of), batch.column(1).take(of), pa.array(src[head]), pa.array(tie[head].astype(np.int32)), pa.array(block[head]), pa.array(n), pa.ListArray.from_arrays(offsets, each)],
+                names=["doc_id", "tie", *SOURCE, "n", "runs"],
+            )
 
     # a document's windows, never more than its words
-    by = found.groupBy("doc_id").agg(F.collect_list(F.struct("start", "src", "src_start")).alias("ws"))
-    return by.mapInArrow(tidied(run), f"doc_id long, src long, n long, runs {RUNS}")
+    by = found.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("start", "src", "src_tie", "src_start")).alias("ws"))
+    return by.mapInArrow(tidied(run), f"doc_id long, tie int, src long, src_tie int, block long, n long, runs {RUNS}")
+
+
+def union_of(places: list) -> list:
+    """The union of intervals (first, last), those that touch joined."""
+    out: list = []
+    for a, b in sorted(places):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return out
+
+
+def references(each: DataFrame) -> DataFrame:
+    """(src, src_tie, block, n, places) of rows (..., n, runs): a row for each block that runs point to, with the places in it (first, last).
+
+    Places are merged within each task, then by part of the tasks, then by block, so that a
+    source with many copies sends a row a task and no more places than its block has words.
+    """
+    kind = f"src long, src_tie int, block long, part int, n long, places {PLACES}"
+
+    def merge(rows):
+        """rows (key, n, places) to record batches; holds a bounded number of places."""
+        held: dict = {}
+        size = 0
+
+        def flush():
+            keys = list(held)
+            cols = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int32()))]
+            places = pa.array([[{"first": a, "last": b} for a, b in union_of(held[k][1])] for k in keys], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))
+            return pa.RecordBatch.from_arrays([*cols, pa.array([held[k][0] for k in keys], pa.int64()), places], names=["src", "src_tie", "block", "part", "n", "places"])
+
+        for key, n, places in rows:
+            mine = held.setdefault(key, [0, [], 64])
+            mine[0] += n
+            mine[1] += places
+            size += len(places)
+            if len(mine[1]) > mine[2]:
+                size -= len(mine[1])
+                mine[1] = [tuple(x) for x in union_of(mine[1])]
+                mine[2] = max(64, 2 * len(mine[1]))
+                size += len(mine[1])
+            if size > 300_000:
+                yield flush()
+                held.clear()
+                size = 0
+        if held:
+            yield flush()
+
+    def pointed(batches):
+        def rows():
+            for batch in batches:
+                cols = [batch.column(i).to_pylist() for i in range(4)]
+                for lo in range(0, batch.num_rows, 256):
+                    for *key, n, rs in zip(*(c[lo : lo + 256] for c in cols), batch.column(4).slice(lo, 256).to_pylist()):
+                        yield (*key, 0), n, [(r["src_start"], r["src_start"] + r["length"]) for r in rs]
+
+        yield from merge(rows())
+
+    def summed(batches):
+        def rows():
+            for batch in batches:
+                cols = [batch.column(i).to_pylist() for i in range(5)]
+                for i, (*key, n) in enumerate(zip(*cols)):
+                    yield tuple(key), n, [(p["first"], p["last"]) for some in batch.column(5)[i].as_py() for p in some]
+
+        yield from merge(rows())
+
+    out = each.select(*SOURCE, "n", "runs").mapInArrow(tidied(pointed), kind).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(64)))
+    for part in (F.col("part"), F.lit(0)):
+        by = out.groupBy(*SOURCE, part.alias("part")).agg(F.sum("n").alias("n"), F.collect_list("places").alias("places"))
+        out = by.select(*SOURCE, "part", "n", "places").mapInArrow(tidied(summed), kind)
+    return out.drop("part")
 
 
 class Automaton:
@@ -198,120 +290,136 @@ class Automaton:
                     yield i, first[u]
 
 
-def confirm(docs: DataFrame, found: DataFrame, least: int) -> DataFrame:
-    """(doc_id, spans: array of first and last + 1 word) as the automata of the reference shards say."""
-    size = found.agg(F.sum("n").alias("n")).first()["n"] or 0
-    shards = max(1, -(-size // (4 * SHARD_WORDS)))
-    # a source's own main source, a few steps up, gathers what repeats one another
-    up = durable(found.groupBy(F.col("doc_id").alias("root")).agg(F.max_by("src", F.struct("n", "src")).alias("up")))
-    roots = found.select("src", F.col("src").alias("root")).distinct()
-    for _ in range(3):
-        roots = roots.join(up, "root", "left").select("src", F.coalesce("up", "root").alias("root"))
-    roots = durable(roots.withColumn("shard", F.pmod(F.xxhash64("root"), F.lit(shards))).drop("root"))
-    sharded = found.join(roots, "src")
-    loads = sharded.groupBy("shard").agg(F.sum("n").alias("n")).select("shard", F.greatest(F.lit(1), F.ceil(F.col("n") / (16 * SHARD_WORDS))).cast("long").alias("splits"))
-    sharded = sharded.join(loads, "shard").withColumn("split", F.pmod(F.xxhash64("src"), F.col("splits"))).drop("splits")
-    load = sharded.groupBy("shard", "split").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / LOAD_WORDS)).cast("long").alias("salts"))
-    sharded = stored(sharded.join(load, ["shard", "split"]).withColumn("key", F.col("shard") * 65536 + F.col("split")).drop("shard", "split"))
-    part = lambda reference, salt, runs: F.struct(F.lit(reference).alias("reference"), "key", salt.alias("salt"), runs.alias("runs"))
-    pieces = sharded.select("doc_id", part(0, F.pmod(F.xxhash64("doc_id"), F.col("salts")), F.transform("runs", lambda r: F.struct(r["start"].alias("start"), r["length"].alias("length")))))
-    # many documents point to the same places of a source: each place once
-    refs = sharded.select("src", "key", "salts", F.explode("runs").alias("r")).select("src", "key", "salts", F.col("r.src_start").alias("start"), F.col("r.length").alias("length")).distinct()
-    refs = refs.groupBy("src", "key", "salts").agg(F.collect_list(F.struct("start", "length")).alias("runs")).select("src", part(1, F.col("salts"), F.col("runs")))
-    wanted = pieces.union(refs).toDF("doc_id", "p").groupBy("doc_id").agg(F.collect_list("p").alias("ps"))
-    wanted = durable(wanted)
+def confirm(docs: DataFrame, each: DataFrame, least: int) -> DataFrame:
+    """(doc_id, tie, spans: array of first and last + 1 word) as the automata of the reference shards say."""
+    table = stored(references(each))
+    heavy = F.col("n") > LOAD_WORDS
+    words = table.agg(F.sum(F.when(~heavy, F.col("n"))).alias("n")).first()["n"] or 0
+    shards = max(1, -(-2 * words // LOAD_WORDS))
+    mine = F.xxhash64(*SOURCE)  # a shard of its own: below 0
+    refs = table.withColumn("salts", F.ceil(F.greatest(F.lit(1), F.col("n") / LOAD_WORDS)).cast("int")).withColumn("key", F.when(heavy, -1 - mine.bitwiseAND((1 << 62) - 1)).otherwise(F.pmod(mine, F.lit(shards))))
+    # a row for each turn, since a heavy block may have a third of all rows
+    hot = refs.where(heavy).select(*SOURCE, F.col("salts").alias("__salts"), F.explode(F.sequence(F.lit(0), F.lit(TURNS - 1))).alias("turn"))
+    sharded = each.withColumn("turn", F.pmod(F.xxhash64("doc_id", "tie"), F.lit(TURNS)).cast("int")).join(hot, [*SOURCE, "turn"], "left")
+    key = F.when(F.col("__salts").isNotNull(), -1 - mine.bitwiseAND((1 << 62) - 1)).otherwise(F.pmod(mine, F.lit(shards)))
+    salt = F.pmod(F.xxhash64("doc_id", "tie", F.lit(7)), F.coalesce("__salts", F.lit(1))).cast("int")
+    part = lambda reference, key, salt, places: F.struct(F.lit(reference).alias("reference"), key.alias("key"), salt.alias("salt"), places.alias("places"))
+    places = F.transform("runs", lambda r: F.struct(r["start"].alias("first"), (r["start"] + r["length"]).alias("last")))
+    pieces = sharded.select("doc_id", "tie", part(False, key, salt, places))
+    held = refs.select("src", "src_tie", part(True, F.col("key"), F.col("salts"), F.col("places")))
+    wanted = stored(pieces.union(held).toDF("doc_id", "tie", "p").groupBy("doc_id", "tie").agg(F.collect_list("p").alias("ps")))
     ids = wanted.select(F.xxhash64("doc_id").alias("h"))
-    texts = Bloom.build(ids, "h").keep(docs.select("doc_id", "text"), "doc_id").dropDuplicates(["doc_id"]).join(wanted, "doc_id")
+    texts = Bloom.build(ids, "h").keep(docs, "doc_id").dropDuplicates(["doc_id", "tie"]).join(wanted, ["doc_id", "tie"])
+    kinds = {"key": pa.int64(), "salt": pa.int32(), "reference": pa.bool_(), "doc_id": pa.int64(), "tie": pa.int32(), "start": pa.int64(), "words": pa.binary()}
 
     def cut(batches):
+        out: dict = {k: [] for k in kinds}
+
+        def batch_of():
+            made = pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for k, v in out.items()], names=list(out))
+            for v in out.values():
+                v.clear()
+            return made
+
+        size = 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                part = batch.slice(lo, 64)
-                out: dict = {k: [] for k in ("key", "salt", "reference", "doc_id", "start", "words")}
-                for d, t, ps in zip(part.column(0).to_pylist(), raw(part.column(1)), part.column(2).to_pylist()):
-                    words = (t or b"").split()
-                    spans: dict = {}
-                    for p in ps:
-                        spans.setdefault((p["key"], p["salt"], p["reference"]), []).extend((r["start"], r["start"] + r["length"]) for r in p["runs"])
-                    for (key, salt, reference), each in spans.items():
-                        each.sort()
-                        joined = [list(each[0])]
-                        for a, b in each[1:]:  # spans that touch are one text
-                            if a <= joined[-1][1]:
-                                joined[-1][1] = max(b, joined[-1][1])
-                            else:
-                                joined.append([a, b])
-                        for a, b in joined:
-                            text = b" ".join(words[a:b])
-                            for one in range(salt) if reference else (salt,):
-                                for k, v in zip(out, (key, one, bool(reference), d, a, text)):
-                                    out[k].append(v)
-                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds)], names=list(out))
-
-    cutted = texts.select("doc_id", "text", "ps").mapInArrow(tidied(cut), "key long, salt long, reference boolean, doc_id long, start long, words binary")
+            for i, (d, tie) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                words = (batch.column(2)[i].as_py() or "").encode().split()
+                spans: dict = {}
+                for p in batch.column(3)[i].as_py():
+                    spans.setdefault((p["key"], p["salt"], p["reference"]), []).extend((r["first"], r["last"]) for r in p["places"])
+                for (key, salt, reference), some in spans.items():
+                    for a, b in union_of(some):  # spans that touch are one text
+                        text = b" ".join(words[a:b])
+                        for one in range(salt) if reference else (salt,):
+                            for k, v in zip(out, (key, one, reference, d, tie, a, text)):
+                                out[k].append(v)
+                            size += len(text)
+                            if size > 4_000_000:
+                                yield batch_of()
+                                size = 0
+        yield batch_of()
+
+    cutted = texts.select("doc_id", "tie", "text", "ps").mapInArrow(tidied(cut), "key long, salt int, reference boolean, doc_id long, tie int, start long, words binary")
 
     def shard_task(t: pa.Table) -> pa.Table:
-        cols = [t.column(c).to_pylist() for c in ("reference", "doc_id", "start", "words")]
-        rows = sorted(zip(*cols), key=lambda r: (not r[0], r[1], r[2]))
+        cols = [t.column(c).to_pylist() for c in ("reference", "doc_id", "tie", "start", "words")]
+        rows = sorted(zip(*cols), key=lambda r: (not r[0], *r[1:4]))
         auto, at, places, begins = Automaton(), 0, [], []
-        ids, lo, hi = [], [], []
-        for reference, d, start, text in rows:
+        ids, ties, lo, hi = [], [], [], []
+        for reference, d, tie, start, text in rows:
             words = text.split()
             if reference:
                 auto.separate()
                 begins.append(at)
-                places.append((d, start))
+                places.append((d, tie, start))
                 auto.extend(words, at)
                 at += len(words)
                 continue
-            span = None
+            spans: list = []
             for i, end in auto.matches(words, least):
                 k = bisect.bisect_right(begins, end) - 1
-                if (places[k][0], places[k][1] + end - begins[k]) < (d, start + i):
+                src, src_tie, first = places[k]
+                if (src, src_tie, first + end - begins[k]) < (d, tie, start + i):
                     first, last = start + i - least + 1, start + i + 1
-                    if span and first <= span[1]:
-                        span[1] = last
+                    if spans and first <= spans[-1][1]:
+                        spans[-1][1] = last
                     else:
-                        if span:
-                            ids.append(d), lo.append(span[0]), hi.append(span[1])
-                        span = [first, last]
-            if span:
-                ids.append(d), lo.append(span[0]), hi.append(span[1])
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "first": pa.array(lo, pa.int64()), "last": pa.array(hi, pa.int64())})
-
-    spans = cutted.groupBy("key", "salt").applyInArrow(tidied_groups(shard_task, 8), "doc_id long, first long, last long")
-    out = durable(spans.groupBy("doc_id").agg(F.collect_set(F.struct("first", "last")).alias("spans")))
-    discard(sharded)
+                        spans.append([first, last])
+            for first, last in spans:
+                ids.append(d), ties.append(tie), lo.append(first), hi.append(last)
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "tie": pa.array(ties, pa.int32()), "first": pa.array(lo, pa.int64()), "last": pa.array(hi, pa.int64())})
+
+    spans = cutted.groupBy("key", "salt").applyInArrow(tidied_groups(shard_task, 8), "doc_id long, tie int, first long, last long")
+    out = durable(spans.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("first", "last")).alias("spans")))
+    discard(table)
+    discard(wanted)
     return out
 
 
+def copies(docs: DataFrame, least: int) -> DataFrame:
+    """Documents (doc_id, tie) whose text is that of an earlier one, and may be long enough to hold a window, as rows of runs() that point to it.
+
+    The number of words isn't known here: runs cover the text's blocks, and what is past its
+    end is empty.
+    """
+    size = F.octet_length("text")
+    keyed = durable(docs.where(size >= 2 * least - 1).select("doc_id", "tie", size.alias("size"), F.unhex(F.sha2("text", 256)).alias("key")))
+    me = F.struct("doc_id", "tie")
+    first = keyed.groupBy("key").agg(F.min(me).alias("first"), F.max(me).alias("last")).where("first != last").drop("last")
+    found = keyed.join(first, "key").where(me > F.col("first")).dropDuplicates(["doc_id", "tie"])
+    blocks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") + 1) / (2 * BLOCK)).cast("long"))
+    found = found.select("doc_id", "tie", F.col("first.doc_id").alias("src"), F.col("first.tie").alias("src_tie"), F.ceil(F.col("size") / 6).cast("long").alias("n"), F.explode(blocks).alias("block"))
+    at = F.col("block") * BLOCK
+    run = F.array(F.struct(at.alias("start"), F.lit(BLOCK + least - 1).cast("long").alias("length"), at.alias("src_start")))
+    return found.select("doc_id", "tie", *SOURCE, F.least("n", F.lit(BLOCK)).alias("n"), run.alias("runs"))
+
+
 def repeated_spans(docs: DataFrame, least: int = 20) -> DataFrame:
-    """(doc_id, spans) for the documents, of texts that all differ, that repeat something earlier."""
-    bloom = Bloom.build(repeated_anchors(docs, least), "h", BITS)
-    rows = stored(windows(docs, bloom, least))
+    """(doc_id, tie, spans) for the documents (doc_id long, tie, text) that repeat something earlier."""
+    same = stored(copies(docs, least))
+    # only the first of equal texts is searched for windows; of what the filter picks out, the rows that aren't copies
+    twice = Bloom.build(same.select(F.xxhash64("doc_id").alias("h")).distinct(), "h")
+    passed = durable(twice.keep(docs, "doc_id").join(same.select("doc_id", "tie"), ["doc_id", "tie"], "left_anti"))
+    firsts = twice.keep(docs, "doc_id", inside=False).union(passed)
+    bloom = Bloom.build(repeated_anchors(firsts, least), "h", BITS)
+    rows = stored(windows(firsts, bloom, least))
     reclaim(docs.sparkSession)
-    order = Window.partitionBy("h").orderBy("doc_id", "start")  # a row a batch at most
-    heads = rows.where("src IS NULL").select("h", "doc_id", "start", F.first("doc_id").over(order).alias("src"), F.first("start").over(order).alias("src_start"))
-    found = heads.where("doc_id != src OR start != src_start").drop("h").union(rows.where("src IS NOT NULL").drop("h"))
-    each = stored(runs(found, least))
+    order = Window.partitionBy("h", "check").orderBy("doc_id", "tie", "start")  # a row a batch at most
+    source = [F.first(c).over(order).alias(s) for c, s in (("doc_id", "src"), ("tie", "src_tie"), ("start", "src_start"))]
+    heads = rows.where("src IS NULL").select("h", "check", "doc_id", "tie", "start", *source)
+    found = heads.where("doc_id != src OR tie != src_tie OR start != src_start").drop("h", "check").union(rows.where("src IS NOT NULL").drop("h", "check"))
+    each = stored(runs(found, least).union(same))
     discard(rows)
     del rows, order, heads, found
     reclaim(docs.sparkSession)
     out = confirm(docs, each, least)
     discard(each)
+    discard(same)
     reclaim(docs.sparkSession)
     return out
 
 
-def copies(docs: DataFrame, least: int) -> DataFrame:
-    """Ids whose text is that of a smaller id, and may be long enough to hold a window."""
-    keyed = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= 2 * least - 1)).select("doc_id", F.unhex(F.md5("text")).alias("key"))
-    keyed = durable(keyed)
-    first = keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return durable(keyed.join(first, "key").where("doc_id > first").select("doc_id").distinct())
-
-
 def covered(n: int, spans: list) -> np.ndarray:
     out = np.zeros(n + 1, np.int32)
     for s in spans:
@@ -320,22 +428,19 @@ def covered(n: int, spans: list) -> np.ndarray:
     return np.cumsum(out[:n]) > 0
 
 
-def with_spans(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """(documents that may have spans, with these and `copy`; the others), by a filter on ids: only the former are shuffled."""
-    same = copies(docs, least)
-    twice = Bloom.build(same.select(F.xxhash64("doc_id").alias("h")), "h")
-    texts = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    passed = durable(twice.keep(texts, "doc_id").join(same, "doc_id", "left_anti"))  # the filter's errors: a few
-    spans = repeated_spans(twice.keep(texts, "doc_id", inside=False).union(passed), least)
-    marks = spans.withColumn("copy", F.lit(False)).unionByName(same.select("doc_id", F.array().cast(SPANS).alias("spans"), F.lit(True).alias("copy")))
-    marks = durable(marks.withColumnRenamed("doc_id", "__id"))
-    bloom = Bloom.build(marks.select(F.xxhash64("__id").alias("h")), "h")
-    maybe = bloom.keep(docs, "doc_id").join(marks, F.col("doc_id") == F.col("__id"), "left").drop("__id")
-    return maybe, bloom.keep(docs, "doc_id", inside=False).withColumn("spans", F.array().cast(SPANS)).withColumn("copy", F.lit(False))
-
-
-def dropped(n: int, spans: list | None, copy: bool | None, least: int) -> np.ndarray:
-    return np.full(n, n >= least) if copy else covered(n, spans or [])
+def with_spans(docs: DataFrame, least: int, spans: str) -> tuple[DataFrame, DataFrame]:
+    """(documents that may have spans, with these in the column named; the others), by a filter on ids: only the former are shuffled."""
+    whole = isinstance(docs.schema["doc_id"].dataType, IntegralType)
+    mine = F.col("doc_id").cast("long") if whole else F.xxhash64("doc_id")
+    tie = F.hash("text")
+    texts = docs.where(F.col("doc_id").isNotNull()).select(mine.alias("doc_id"), tie.alias("tie"), "text")
+    marks = repeated_spans(texts, least)
+    bloom = Bloom.build(marks.select(F.xxhash64("doc_id").alias("h")), "h")
+    a, b = free(docs, "id"), free(docs, "tie")
+    marks = marks.select(F.col("doc_id").alias(a), F.col("tie").alias(b), F.col("spans").alias(spans))
+    named = docs.withColumns({a: F.when(F.col("doc_id").isNotNull(), mine), b: tie})
+    maybe = bloom.keep(named, a).join(marks, [a, b], "left").drop(a, b)
+    return maybe, bloom.keep(named, a, inside=False).drop(a, b).withColumn(spans, F.array().cast(SPANS))
 
 
 def digests(docs: DataFrame, least: int = 20) -> DataFrame:
@@ -347,38 +452,36 @@ def digests(docs: DataFrame, least: int = 20) -> DataFrame:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 size, gone, sha = [], [], []
-                for t, spans, copy in zip(raw(part.column(1)), part.column(2).to_pylist(), part.column(3).to_pylist()):
+                for t, spans in zip(raw(part.column(1)), part.column(2).to_pylist()):
                     words = (t or b"").split()
-                    drop = dropped(len(words), spans, copy, least)
-                    kept = [w for w, x in zip(words, drop.tolist()) if not x] if drop.any() else words
+                    kept = [w for w, x in zip(words, covered(len(words), spans).tolist()) if not x] if spans else words
                     size.append(len(words))
                     gone.append(len(words) - len(kept))
                     sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    sides = with_spans(docs.select("doc_id", "text"), least)
-    out = [x.select("doc_id", "text", "spans", "copy").mapInArrow(tidied(run), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string") for x in sides]
+    out = [x.select("doc_id", "text", "spans").mapInArrow(tidied(run), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string") for x in with_spans(docs.select("doc_id", "text"), least, "spans")]
     return out[0].union(out[1])
 
 
 def remove(docs: DataFrame, least: int = 20) -> DataFrame:
     """docs with the repeated spans cut out of text; the white space between kept words stays."""
-    columns = docs.columns
+    columns, extra = docs.columns, free(docs, "spans")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     at = columns.index("text")
 
     def run(batches):
         for batch in batches:
             out = []
-            for t, spans, copy in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist(), batch.column(len(columns) + 1).to_pylist()):
-                if t and (spans or copy):
+            for t, spans in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist()):
+                if t and spans:
                     b = t.encode()
                     words = [m.start() for m in WORD.finditer(b)]
                     edges = np.array([*words, len(b)])
-                    keep = ~dropped(len(words), spans, copy, least)
+                    keep = ~covered(len(words), spans)
                     t = b"".join([b[: edges[0]], *[b[edges[i] : edges[i + 1]] for i in np.flatnonzero(keep)]]).decode()
                 out.append(t)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if i == at else batch.column(i) for i in range(len(columns))], names=columns)
 
-    maybe, rest = with_spans(docs, least)
-    return maybe.select(*columns, "spans", "copy").mapInArrow(tidied(run), fields).union(rest.select(*columns))
+    maybe, rest = with_spans(docs, least, extra)
+    return maybe.select(*columns, extra).mapInArrow(tidied(run), fields).union(rest.select(*columns))
