@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,20 +24,50 @@ def invalidated(changes: DataFrame, imports: DataFrame) -> DataFrame:
     return closure(imports.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct(), seed)[0].select(F.col("node").alias("path")).distinct()
 
 
-def move_proposals(removed: DataFrame, added: DataFrame) -> DataFrame:
-    """(from_path, to_path, shared, larger): moves by shared symbols, (path, symbol) on either side.
+def move_candidates(removed: DataFrame, added: DataFrame) -> DataFrame:
+    """(from_path, to_path, matched, larger): pairs of which at least half of the larger side's symbols match.
+
+    Sides have rows (path, symbol), one a symbol; a symbol that stands several times in a
+    file matches as often as it stands on both sides.
+    """
+    sides = []
+    for df, path, n in ((removed, "from_path", "n1"), (added, "to_path", "n2")):
+        counts = df.toDF(path, "symbol").groupBy(path, "symbol").agg(F.count("*").alias(n))
+        sides.append((counts, counts.groupBy(path).agg(F.sum(n).alias(n))))
+    (left, n1), (right, n2) = sides
+    shared = left.join(right, "symbol").groupBy("from_path", "to_path").agg(F.sum(F.least("n1", "n2")).alias("matched"))
+    return shared.join(n1, "from_path").join(n2, "to_path").withColumn("larger", F.greatest("n1", "n2")).where("2 * matched >= larger").select("from_path", "to_path", "matched", "larger")
 
-    At least half of the larger side must match and the best must be better than all
-    others; ties refuse. A path that two moves claim goes to the first in order of from_path.
+
+def move_proposals(removed: DataFrame, added: DataFrame) -> DataFrame:
+    """(from_path, to_path, matched, larger): moves, as if the removed paths chose one after the other in their order.
+
+    Each takes, of the added paths not yet taken, the one with most matched symbols, then
+    the smaller larger side; if two are equal in both, it takes none. A path is decided in
+    the first round in which no undecided path before it can change its choice: its best
+    candidate is its own and wanted by none before it; or all its candidates are; or more
+    are tied for best than those before it could take. At least one path of each connected
+    group is decided a round.
     """
-    n1 = removed.groupBy("path").agg(F.count_distinct("symbol").alias("n1"))
-    n2 = added.groupBy("path").agg(F.count_distinct("symbol").alias("n2"))
-    shared = removed.toDF("from_path", "symbol").distinct().join(added.toDF("to_path", "symbol").distinct(), "symbol").groupBy("from_path", "to_path").agg(F.count("*").alias("shared"))
-    scored = shared.join(n1.withColumnRenamed("path", "from_path"), "from_path").join(n2.withColumnRenamed("path", "to_path"), "to_path").withColumn("larger", F.greatest("n1", "n2")).where("2 * shared >= larger")
-    best = Window.partitionBy("from_path").orderBy(F.desc(F.col("shared") / F.col("larger")))
-    first = scored.withColumn("__r", F.rank().over(best)).where("__r = 1").withColumn("__n", F.count("*").over(Window.partitionBy("from_path"))).where("__n = 1")
-    claim = F.row_number().over(Window.partitionBy("to_path").orderBy("from_path"))
-    return first.withColumn("__c", claim).where("__c = 1").select("from_path", "to_path", "shared", "larger")
+    left = checkpointed(move_candidates(removed, added))
+    none = left.limit(0)
+    taken = none
+    while not left.isEmpty():
+        # candidates that the same paths want on the same terms are alike: those before a path at one of them are those at all
+        alike = left.groupBy("to_path").agg(F.sum(F.xxhash64("from_path", "matched", "larger").cast("decimal(38,0)")).alias("alike"))
+        before = F.row_number().over(Window.partitionBy("to_path").orderBy("from_path")) - 1
+        rows = left.join(alike, "to_path").withColumn("before", before)
+        score = F.struct(F.col("matched").alias("m"), (-F.col("larger")).alias("l"))
+        best = rows.groupBy("from_path").agg(F.max(score).alias("best"), F.max("before").alias("most_before"))
+        top = rows.join(best, "from_path").where(score == F.col("best"))
+        kinds = top.groupBy("from_path", "alike").agg(F.count("*").alias("n"), F.max("before").alias("before"), F.min("to_path").alias("to_path"), F.first("most_before").alias("most_before"), F.first("matched").alias("matched"), F.first("larger").alias("larger"))
+        one = kinds.groupBy("from_path").agg(F.sum("n").alias("n"), F.sum("before").alias("before"), F.min("to_path").alias("to_path"), F.first("most_before").alias("most_before"), F.first("matched").alias("matched"), F.first("larger").alias("larger"))
+        sole, free = F.col("n") == 1, F.col("most_before") == 0
+        decided = checkpointed(one.where((sole & (F.col("before") == 0)) | free | (F.col("n") >= F.col("before") + 2)).select("from_path", "to_path", "matched", "larger", sole.alias("takes")))
+        new = decided.where("takes").drop("takes")
+        taken = taken.union(new)
+        left = checkpointed(left.join(decided.select("from_path"), "from_path", "left_anti").join(new.select("to_path"), "to_path", "left_anti").select(*none.columns))
+    return taken
 
 
 def resolve_imports(imports: DataFrame, paths: DataFrame) -> DataFrame:
@@ -82,16 +111,3 @@ def filesystem_graph(paths: DataFrame, root: str = "repository") -> DataFrame:
     parts = F.split("path", "/")
     each = paths.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, 1, n), "/").alias("child"), F.array_join(F.slice(parts, 1, n - 1), "/").alias("parent"), (n == F.size(parts)).alias("leaf")))).alias("x")).select("x.*")
     return each.select(F.when(F.col("parent") == "", root).otherwise(F.col("parent")).alias("parent"), "child", F.when(F.col("leaf"), "file").otherwise("directory").alias("kind")).distinct()
-
-
-def greedy_claims(pairs: DataFrame) -> DataFrame:
-    """The sequential form of claiming for one bounded group: best pairs first, each end once; groups by `group`."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        used_a, used_b, keep = set(), set(), []
-        for r in pdf.sort_values(["from_path", "to_path"]).itertuples(index=False):
-            if r.from_path not in used_a and r.to_path not in used_b:
-                used_a.add(r.from_path), used_b.add(r.to_path), keep.append(r)
-        return pd.DataFrame(keep, columns=pdf.columns)
-
-    return pairs.groupBy("group").applyInPandas(run, pairs.schema)

@@ -481,12 +481,19 @@ def q34_invalidation(m: Model) -> DataFrame:
     return incremental.invalidated(changes, rows.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")))
 
 
-@query("""WITH a AS (SELECT DISTINCT p_brand AS path, p_name AS symbol FROM part WHERE p_partkey % 2 = 0), b AS (SELECT DISTINCT p_type AS path, p_name AS symbol FROM part WHERE p_partkey % 3 = 0), s AS (SELECT a.path AS from_path, b.path AS to_path, count(*) AS shared FROM a JOIN b USING (symbol) GROUP BY ALL),
-    n AS (SELECT s.*, greatest((SELECT count(*) FROM a WHERE path = from_path), (SELECT count(*) FROM b WHERE path = to_path)) AS larger FROM s), k AS (SELECT *, rank() OVER (PARTITION BY from_path ORDER BY shared / larger DESC) AS r FROM n WHERE 2 * shared >= larger),
-    f AS (SELECT * FROM k WHERE r = 1 QUALIFY count(*) OVER (PARTITION BY from_path) = 1) SELECT from_path, to_path, shared, larger FROM f QUALIFY row_number() OVER (PARTITION BY to_path ORDER BY from_path) = 1""")
+@query("""WITH RECURSIVE a AS (SELECT 'a' || p_partkey // 4 AS path, p_partkey // 40 || '-' || p_size % 5 AS symbol FROM part), b AS (SELECT 'b' || p_partkey // 40 || '/' || (p_partkey * 7 % 40) // 4 AS path, p_partkey // 40 || '-' || p_size % 5 AS symbol FROM part),
+    x AS (SELECT path, symbol, count(*) AS c FROM a GROUP BY ALL), y AS (SELECT path, symbol, count(*) AS c FROM b GROUP BY ALL),
+    k AS (SELECT *, greatest((SELECT count(*) FROM a WHERE path = from_path), (SELECT count(*) FROM b WHERE path = to_path)) AS larger FROM (SELECT x.path AS from_path, y.path AS to_path, sum(least(x.c, y.c))::BIGINT AS matched FROM x JOIN y USING (symbol) GROUP BY ALL)),
+    p AS (SELECT *, dense_rank() OVER (ORDER BY from_path) AS i FROM k WHERE 2 * matched >= larger),
+    r(i, claimed, pick) AS (SELECT 0::BIGINT, []::VARCHAR[], NULL::VARCHAR UNION ALL SELECT i, CASE WHEN pick IS NULL THEN claimed ELSE claimed || [pick] END, pick FROM (SELECT r.i + 1 AS i, claimed, (SELECT CASE WHEN count(*) = 1 THEN min(to_path) END FROM (SELECT to_path, rank() OVER (ORDER BY matched DESC, larger) AS k FROM p WHERE p.i = r.i + 1 AND NOT list_contains(r.claimed, to_path)) WHERE k = 1) AS pick FROM r WHERE r.i < (SELECT max(i) FROM p)))
+    SELECT from_path, to_path, matched, larger FROM r JOIN p ON p.i = r.i AND to_path = pick""")
 def q35_move_proposals(m: Model) -> DataFrame:
+    """Blocks of parts as files before and after a reorganisation: with ties and with paths that several want."""
     p = m.raw("part")
-    return incremental.move_proposals(p.where("p_partkey % 2 = 0").select(F.col("p_brand").alias("path"), F.col("p_name").alias("symbol")), p.where("p_partkey % 3 = 0").select(F.col("p_type").alias("path"), F.col("p_name").alias("symbol")))
+    block, k = F.floor(F.col("p_partkey") / 40).cast("string"), F.col("p_partkey")
+    text = lambda c: F.floor(c).cast("string")
+    symbol = F.concat_ws("-", block, F.col("p_size") % 5)
+    return incremental.move_proposals(p.select(F.concat(F.lit("a"), text(k / 4)).alias("path"), symbol.alias("symbol")), p.select(F.concat(F.lit("b"), block, F.lit("/"), text(k * 7 % 40 / 4)).alias("path"), symbol.alias("symbol")))
 
 
 @query("""WITH p AS (SELECT r_name || '/' || n_name || '/' || c_mktsegment AS path FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)
