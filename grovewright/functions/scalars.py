@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .vocab import CONTAINER_KINDS, CONTENT_KINDS, PREFIXES, SYMBOL_KINDS
+from .vocab import CONTAINER_KINDS, CONTENT_KINDS, PREFIXES, SYMBOL_KINDS, VOCABULARIES
 
 SEPARATOR = "\x1f"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -94,9 +94,24 @@ def is_secret(path: Column) -> Column:
     return base.rlike("|".join(f"(?:{fnmatch.translate(p)})".replace("\\Z", "$").replace("\\z", "$").replace("(?s:", "(?:") for p in SECRET_PATTERNS))
 
 
-def query_tokens(c: Column) -> Column:
-    """Tokens of a search: runs of letters, digits and underscores."""
-    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}_]+"), lambda x: x != "")
+def category(meta: Column) -> Column:
+    """The category that a JSON text names, if it is one of the vocabulary; else, and for what is no JSON, `uncategorised`."""
+    named = F.get_json_object(meta, "$.category")
+    return F.when(named.isin(VOCABULARIES["unresolved_category"]), named).otherwise("uncategorised")
+
+
+def degree(meta: Column) -> Column:
+    """The degree of coverage that a JSON text names; `covered` where it names none."""
+    named = F.get_json_object(meta, "$.degree")
+    return F.when(named.isin("covered", "partial"), named).otherwise("covered")
+
+
+def civil_date(seconds: Column) -> Column:
+    """Epoch seconds as a date and time in UTC, to the second."""
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int"))
+    rest = F.pmod(seconds, F.lit(86400))
+    two = lambda c: F.lpad(F.floor(c).cast("string"), 2, "0")
+    return F.concat(day.cast("string"), F.lit("T"), two(rest / 3600), F.lit(":"), two(rest % 3600 / 60), F.lit(":"), two(rest % 60), F.lit("Z"))
 
 
 def selector_shape(selector: str) -> dict:

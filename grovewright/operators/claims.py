@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vocab import member
-from ..plans.helpers import first_by
+from ..plans.helpers import checkpointed, first_by
 
 #: One observation is one row by this key.
 EVIDENCE_KEY = ["assertion_id", "extractor_id", "extractor_version", "source_type", "file_path", "start_line", "end_line"]
@@ -129,14 +129,17 @@ def prune_orphans(snapshot: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 
 def prune_scoped(snapshot: dict[str, DataFrame], touched: DataFrame, entities: DataFrame) -> dict[str, DataFrame]:
-    """The same over touched assertions and entities, and the ends of assertions that go."""
+    """The same over touched assertions and entities, and the ends of assertions that go.
+
+    What goes is read several times, so it is checkpointed: a part of what was touched.
+    """
     scope = touched.select("assertion_id").distinct()
-    doomed = snapshot["assertion"].join(scope, "assertion_id", "left_semi").join(snapshot["observation"].select("assertion_id"), "assertion_id", "left_anti")
+    doomed = checkpointed(snapshot["assertion"].join(scope, "assertion_id", "left_semi").join(snapshot["observation"].select("assertion_id"), "assertion_id", "left_anti"))
     assertion = snapshot["assertion"].join(doomed.select("assertion_id"), "assertion_id", "left_anti")
     near = doomed.select(F.col("source_id").alias("entity_id")).union(doomed.select("target_id")).union(entities.select("entity_id")).distinct()
     used = assertion.select(F.explode(F.array("source_id", "target_id")).alias("entity_id")).union(snapshot["occurrence"].select("entity_id"))
-    gone = snapshot["entity"].where(F.col("kind") != "repository").join(near, "entity_id", "left_semi").join(used, "entity_id", "left_anti")
-    return {**snapshot, "assertion": assertion, "entity": snapshot["entity"].join(gone.select("entity_id"), "entity_id", "left_anti")}
+    gone = checkpointed(snapshot["entity"].where(F.col("kind") != "repository").select("entity_id").join(near, "entity_id", "left_semi").join(used, "entity_id", "left_anti"))
+    return {**snapshot, "assertion": assertion, "entity": snapshot["entity"].join(gone, "entity_id", "left_anti")}
 
 
 def canonical_dump(tables: dict[str, DataFrame]) -> DataFrame:
@@ -162,3 +165,33 @@ def validate(snapshot: dict[str, DataFrame]) -> DataFrame:
         "source_type": observation.where(~F.col("source_type").between(0, 11)),
     }
     return reduce(DataFrame.union, [df.agg(F.count("*").alias("offending")).select(F.lit(k).alias("rule"), "offending") for k, df in rules.items()])
+
+
+def diagnostics(snapshot: dict[str, DataFrame], run: DataFrame, index: DataFrame) -> DataFrame:
+    """(metric, n): entities, documents of the search index (entity_id), whether these differ, runs, and runs that never finished."""
+    parts = {
+        "entities": snapshot["entity"].agg(F.count("*").alias("n")), "indexed_documents": index.agg(F.count_distinct("entity_id").alias("n")), "not_indexed": snapshot["entity"].join(index.select("entity_id").distinct(), "entity_id", "left_anti").agg(F.count("*").alias("n")),
+        "indexed_but_gone": index.select("entity_id").distinct().join(snapshot["entity"], "entity_id", "left_anti").agg(F.count("*").alias("n")), "extractor_runs": run.agg(F.count("*").alias("n")), "unfinished_runs": run.agg(F.count_if(F.col("finished_at").isNull()).alias("n")),
+    }
+    return reduce(DataFrame.union, [df.select(F.lit(k).alias("metric"), "n") for k, df in parts.items()])
+
+
+def dump_counters(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, rows) of a snapshot."""
+    return reduce(DataFrame.union, [df.agg(F.count("*").alias("rows")).select(F.lit(k).alias("table"), "rows") for k, df in sorted(tables.items())])
+
+
+def usable_facts(facts: DataFrame, files: DataFrame, version: str) -> DataFrame:
+    """Cached facts (file_path, content_hash, version, ...) that still hold: same content, same version of the extractor."""
+    return facts.where(F.col("version") == version).join(files.select("file_path", "content_hash"), ["file_path", "content_hash"], "left_semi")
+
+
+def store_facts(facts: DataFrame, new: DataFrame, gone: DataFrame) -> DataFrame:
+    """The cache after a run: new rows replace those of their path, paths that are gone (file_path) lose theirs."""
+    paths = new.select("file_path").union(gone.select("file_path")).distinct()
+    return facts.join(paths, "file_path", "left_anti").unionByName(new)
+
+
+def envelope(rows: DataFrame) -> DataFrame:
+    """(json): each row as a JSON object whose fields follow `ok`."""
+    return rows.select(F.to_json(F.struct(F.lit(True).alias("ok"), *[F.col(c) for c in rows.columns])).alias("json"))

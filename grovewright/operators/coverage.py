@@ -50,6 +50,19 @@ def gap_totals(found: DataFrame) -> DataFrame:
     return found.agg(*[F.when(any_, F.count_if(F.col("state") == s)).alias(s) for s in ("covered", "partial", "uncovered", "unmeasured")])
 
 
+def gap_totals_full(found: DataFrame, freshness: DataFrame) -> DataFrame:
+    """gap_totals() with stale symbols, measured files and those of them that are stale; freshness (file, freshness) of measured files."""
+    stale = freshness.where("freshness != 'fresh'").select("file").distinct()
+    files = freshness.agg(F.count_distinct("file").alias("measured_files")).join(stale.agg(F.count("*").alias("stale_files")), F.lit(True))  # one row each
+    symbols = found.where("state != 'unmeasured'").join(stale, "file", "left_semi").agg(F.count("*").alias("stale"))
+    return gap_totals(found).join(symbols, F.lit(True)).join(files, F.lit(True))
+
+
+def gap_rows(found: DataFrame, states: list[str] | None = None, limit: int = 50) -> DataFrame:
+    """Symbols in the given states (uncovered and unmeasured if none are named) by file, line and id; found has start_line."""
+    return found.where(F.col("state").isin(states or ["uncovered", "unmeasured"])).orderBy("file", "start_line", "symbol").limit(limit)
+
+
 def merge_traces(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     """Per site one row. A run of the same id and artifact replaces itself, others are kept; the site's completion and
     binding are the weakest of its runs, its tests all of them."""

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..functions.vocab import IMPACT_RELATIONS, parse_all
 from ..plans.helpers import checkpointed, closure, first_by
 
@@ -57,6 +58,24 @@ def dense_ranks(rows: DataFrame, order: list[str]) -> DataFrame:
     return local.join(F.broadcast(base), "__part").select("entity_id", (F.col("base") + F.col("__at")).alias("rank"))
 
 
+def impact_report(assertion: DataFrame, state: DataFrame, entity: DataFrame, evidence: DataFrame, freshness: DataFrame, subject: DataFrame, depth: int = 6, relations: list[str] | None = None, limit: int = 50) -> dict[str, DataFrame]:
+    """An impact answer: rows in their order up to limit, totals over all of it, and the account of what it can't see.
+
+    evidence: one representative observation a claim (assertion_id, file_path, start_line);
+    freshness: (file_path, freshness). The account covers the same relations and is there
+    whether or not anything was found. Rows are by depth, kind, qualified name and id.
+    """
+    from .lookup import unresolved_account
+
+    found = checkpointed(impact(assertion, subject, depth, relations))
+    named = entity.select("entity_id", "kind", S.qualified_name(F.col("kind"), F.col("scope_path"), F.col("name")).alias("qualified"))
+    rows = found.join(named, "entity_id").join(state, "assertion_id", "left").join(evidence.select("assertion_id", "file_path", "start_line"), "assertion_id", "left").join(freshness, "file_path", "left")
+    stale = rows.agg(F.count_if(F.col("file_path").isNotNull() & (F.coalesce("freshness", F.lit("file-missing")) != "fresh")).alias("n")).select(F.lit("stale").alias("metric"), F.lit("").alias("name"), "n")
+    return {
+        "rows": rows.orderBy("depth", "kind", "qualified", "entity_id").limit(limit), "totals": impact_totals(found, entity).union(stale), "unresolved": unresolved_account(state, assertion, relations or IMPACT_RELATIONS),
+    }
+
+
 def impact_totals(found: DataFrame, entity: DataFrame) -> DataFrame:
     """(metric, name, n) over the whole closure: totals by depth, relation and kind."""
     kinds = found.join(entity.select("entity_id", "kind"), "entity_id")
@@ -130,6 +149,11 @@ def explain(assertion: DataFrame, observation: DataFrame, subject: str, other: s
     return rows.orderBy("relation", F.desc("outgoing"), "other_end", "assertion_id", "file_path", "start_line")
 
 
+def explain_runs(claims: DataFrame, run: DataFrame, freshness: DataFrame) -> DataFrame:
+    """Rows of explain() with the state that each piece of evidence was recorded in, by its run, and the freshness of its file."""
+    return claims.join(run.select("run_id", "state_id", F.col("finished_at").isNotNull().alias("finished")), "run_id").join(freshness, "file_path", "left")
+
+
 def reachable(assertion: DataFrame, start: DataFrame, relations: list[str] | None = None, reverse: bool = False, depth: int | None = None) -> DataFrame:
     """(node, depth) along claims; start (node) is included at depth 0."""
     a, b = ("target_id", "source_id") if reverse else ("source_id", "target_id")

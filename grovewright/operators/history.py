@@ -16,7 +16,7 @@ from ..plans.helpers import cascade, checkpointed, closure, first_by
 #: What co-change doesn't mean.
 DISCLAIMER = "Paths that changed in the same commits; this is no evidence that one depends on the other."
 # Bounds of the similarity matcher.
-THRESHOLD, MIN_LINES, MAX_LINES, MAX_SIDE, MAX_PAIRS, MAX_ROWS, MAX_BYTES = (7, 8), 3, 50_000, 64, 256, 64, 1 << 20
+THRESHOLD, MIN_LINES, MAX_LINES, MAX_SIDE, MAX_PAIRS, MAX_BYTES = (7, 8), 3, 50_000, 64, 256, 1 << 20
 
 
 def commit_log(commit: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
@@ -27,6 +27,23 @@ def commits_touching(change: DataFrame, commit: DataFrame, path: str, limit: int
     return change.where(F.col("path") == path).join(commit, "commit_oid").orderBy(F.desc("committer_time"), "commit_oid").limit(limit)
 
 
+def renames_touching(rename: DataFrame, commit: DataFrame, path: str, limit: int = 20) -> DataFrame:
+    """Renames from or to the path, latest first: one filter, then the join with their commits."""
+    rows = rename.where((F.col("from_path") == path) | (F.col("to_path") == path)).join(commit.select("commit_oid", "committer_time"), "commit_oid")
+    return rows.orderBy(F.desc("committer_time"), "commit_oid", "from_path", "to_path").limit(limit)
+
+
+def write_history(stored: dict[str, DataFrame], new: dict[str, DataFrame], at: str) -> dict[str, DataFrame]:
+    """commit, change, rename and analysis are insert-ignore by their keys; ingest keeps the latest row of a repository."""
+    from .claims import insert_ignore, latest_wins
+
+    keys = {"commit": ["commit_oid"], "change": ["commit_oid", "path"], "rename": ["commit_oid", "from_path", "to_path", "matcher"], "analysis": ["commit_oid", "matcher"]}
+    out = {name: insert_ignore(stored[name], new[name], key) if name in new else stored[name] for name, key in keys.items() if name in stored}
+    if "ingest" in stored:
+        out["ingest"] = latest_wins(stored["ingest"], new["ingest"], ["repo_id"], at) if "ingest" in new else stored["ingest"]
+    return out
+
+
 def change_frequency(change: DataFrame, limit: int | None = 20) -> DataFrame:
     """(path, commits): by number of distinct commits."""
     out = change.groupBy("path").agg(F.count_distinct("commit_oid").alias("commits"))
@@ -53,13 +70,14 @@ def cochange_totals(change: DataFrame) -> DataFrame:
     return cochange(change, limit=None).agg(F.count("*").alias("pairs_total"))
 
 
-def history_totals(commit: DataFrame, change: DataFrame) -> DataFrame:
-    """(metric, n): commits, merges, changes, and changes by kind with the zeroes."""
+def history_totals(commit: DataFrame, change: DataFrame, rename: DataFrame | None = None) -> DataFrame:
+    """(metric, n): commits, merges, changes, renames, and changes by kind with the zeroes."""
     spark = commit.sparkSession
     kinds = spark.createDataFrame([(k,) for k in VOCABULARIES["change_kind"]], "change_kind string")
     by = kinds.join(change.groupBy("change_kind").agg(F.count("*").alias("n")), "change_kind", "left").select(F.concat(F.lit("changes_"), "change_kind").alias("metric"), F.coalesce("n", F.lit(0)).alias("n"))
     one = commit.agg(F.count("*").alias("commits"), F.count_if("is_merge").alias("merges")).select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("n")) for m in ("commits", "merges")])).alias("x")).select("x.*")
-    return by.union(one).union(change.agg(F.count("*").alias("n")).select(F.lit("changes").alias("metric"), "n"))
+    out = by.union(one).union(change.agg(F.count("*").alias("n")).select(F.lit("changes").alias("metric"), "n"))
+    return out if rename is None else out.union(rename.agg(F.count("*").alias("n")).select(F.lit("renames").alias("metric"), "n"))
 
 
 def first_last_observed(change: DataFrame, commit: DataFrame) -> DataFrame:
@@ -106,8 +124,10 @@ def state_diff(commit: DataFrame, change: DataFrame, older: str, newer: str, wal
     return "diff", commit.join(span, "commit_oid").orderBy(F.desc("committer_time"), "commit_oid"), change.join(span, "commit_oid").orderBy("commit_oid", "path")
 
 
-def history_freshness(head: str | None, indexed: str | None) -> str:
-    return "no_history_ingested" if head is None else "unverifiable" if indexed is None else "current" if head == indexed else "stale"
+def history_freshness(ingest: DataFrame) -> DataFrame:
+    """ingest (repo_id, ingested_head, head) with whether its history is that of the head now; either may be null."""
+    c = F.col
+    return ingest.withColumn("freshness", cascade([(c("ingested_head").isNull(), "no_history_ingested"), (c("head").isNull(), "unverifiable"), (c("ingested_head") == c("head"), "current")], "stale"))
 
 
 def ambiguity(pairs: DataFrame, keys: list[str]) -> DataFrame:
@@ -152,7 +172,7 @@ def similar_renames(change: DataFrame, blob: DataFrame) -> tuple[DataFrame, Data
     gone = usable.where("change_kind = 'deleted'").select("commit_oid", F.col("path").alias("from_path"), F.col("blob_oid").alias("b1"), F.col("n").alias("n1"))
     come = usable.where("change_kind = 'added'").select("commit_oid", F.col("path").alias("to_path"), F.col("blob_oid").alias("b2"), F.col("n").alias("n2"))
     pairs = gone.join(come, "commit_oid").where("b1 != b2 AND 8 * least(n1, n2) >= 7 * greatest(n1, n2)")
-    counts = usable.select("blob_oid", "ls").distinct().select("blob_oid", F.explode("ls").alias("line")).groupBy("blob_oid", "line").agg(F.count("*").alias("c"))
+    counts = usable.select("blob_oid", "ls").dropDuplicates(["blob_oid"]).select("blob_oid", F.explode("ls").alias("line")).groupBy("blob_oid", "line").agg(F.count("*").alias("c"))
     left, right = counts.toDF("b1", "line", "c1"), counts.toDF("b2", "line", "c2")
     blobs = pairs.select("b1", "b2", "n1", "n2").distinct()
     shared = blobs.join(left, "b1").join(right, ["b2", "line"]).groupBy("b1", "b2", "n1", "n2").agg(F.sum(F.least("c1", "c2")).alias("numerator"))

@@ -24,6 +24,12 @@ def invalidated(changes: DataFrame, imports: DataFrame) -> DataFrame:
     return closure(imports.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct(), seed)[0].select(F.col("node").alias("path")).distinct()
 
 
+def untracked(discovered: DataFrame, indexed: DataFrame, most_bytes: int) -> DataFrame:
+    """(path, indexable) of discovered files (path, length, is_text) that have no facts: what an index run would add, and what it can't."""
+    new = discovered.join(indexed.select("path").distinct(), "path", "left_anti")
+    return new.select("path", ((F.col("length") <= most_bytes) & F.col("is_text")).alias("indexable"))
+
+
 def move_candidates(removed: DataFrame, added: DataFrame) -> DataFrame:
     """(from_path, to_path, matched, larger): pairs of which at least half of the larger side's symbols match.
 

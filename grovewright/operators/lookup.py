@@ -26,6 +26,12 @@ def status(entity: DataFrame, assertion: DataFrame, observation: DataFrame) -> D
     return reduce(DataFrame.union, parts)
 
 
+def last_state(runs: DataFrame) -> DataFrame:
+    """The runs (run_id, state_id, started_at, finished_at, ...) of the state that the last run recorded."""
+    last = runs.agg(F.max_by("state_id", "run_id").alias("state_id"))
+    return runs.join(F.broadcast(last), "state_id").orderBy("run_id")  # one row is broadcast
+
+
 def relation_counts(assertion: DataFrame) -> DataFrame:
     """(entity_id, side, relation, n) for all entities."""
     sides = assertion.select(F.explode(F.array(F.struct(F.col("source_id").alias("entity_id"), F.lit("outgoing").alias("side")), F.struct(F.col("target_id").alias("entity_id"), F.lit("incoming").alias("side")))).alias("s"), "relation")
@@ -59,6 +65,18 @@ def unresolved_account(state: DataFrame, assertion: DataFrame, relations: list[s
     return rows.agg(F.coalesce(F.sum("evidence_count"), F.lit(0)).alias("sites"), F.count("*").alias("assertions"), F.count_distinct("target_id").alias("targets"))
 
 
+def unresolved_sites(state: DataFrame, assertion: DataFrame, entity: DataFrame, relations: list[str]) -> DataFrame:
+    """(category, sites): sites of the unresolved account by what the target was taken for; entity has meta (JSON)."""
+    claims = assertion if not relations else assertion.where(F.col("relation").isin(relations))
+    rows = state.where("is_unresolved").join(claims, "assertion_id").join(entity.select(F.col("entity_id").alias("target_id"), S.category(F.col("meta")).alias("category")), "target_id")
+    return rows.groupBy("category").agg(F.sum("evidence_count").alias("sites"))
+
+
+def by_ids(entity: DataFrame, ids: DataFrame) -> DataFrame:
+    """The entities of a set of ids (entity_id), in one join however many there are."""
+    return entity.join(ids.select("entity_id").distinct(), "entity_id", "left_semi")
+
+
 def resolve_selector(entity: DataFrame, selector: str) -> DataFrame:
     """Matches of a selector at the first stage that has any, with the outcome.
 
@@ -145,6 +163,28 @@ def freshness(recorded: DataFrame, current: DataFrame) -> DataFrame:
     return joined.groupBy("file_path").agg(F.max(state).alias("state")).select("file_path", F.get(names, F.col("state")).alias("freshness"))
 
 
+def freshness_tallies(facts: DataFrame, current: DataFrame, cap: int) -> DataFrame:
+    """One row over the first `cap` files in order of path: how many there are, were probed, and are in each state; whether the cap cut.
+
+    facts (file_path, content_hash), one row a file. The cap is the feature: a probe reads a file.
+    """
+    total = facts.agg(F.count("*").alias("files_total"))
+    probed = facts.orderBy("file_path").limit(cap)
+    names = ("fresh", "stale", "file-missing", "refused", "unreadable")
+    tally = freshness(probed, current).agg(F.count("*").alias("files_probed"), *[F.count_if(F.col("freshness") == x).alias(x.removeprefix("file-")) for x in names])
+    return total.join(tally, F.lit(True)).withColumn("truncated", F.col("files_total") > F.col("files_probed"))  # one row each
+
+
+def partial_parses(facts: DataFrame) -> DataFrame:
+    """Files whose cached facts (JSON) say that they didn't parse in whole, with what was not modelled; facts that can't be read don't count."""
+    j = lambda p: F.get_json_object("facts", f"$.counters.{p}")
+    rows = facts.where(F.coalesce(j("has_syntax_error") == "true", F.lit(False)))
+    return rows.select(
+        "file_path", "language", "content_hash", F.coalesce(j("dynamic_imports_without_specifier").try_cast("long"), F.lit(0)).alias("dynamic_imports_without_specifier"),
+        F.coalesce(j("unmodelled_call_sites").try_cast("long"), F.lit(0)).alias("unmodelled_call_sites"), F.from_json(j("unmodelled_by_form"), "map<string,bigint>").alias("unmodelled_by_form"),
+    ).orderBy("file_path")
+
+
 def trust(tallies: DataFrame) -> DataFrame:
     """The verdict over one row of tallies; the order of conditions is the meaning."""
     from ..plans.helpers import cascade

@@ -35,6 +35,17 @@ def append_events(events: DataFrame, new: DataFrame) -> DataFrame:
     return events.unionByName(checked.where(legal).select(*events.columns))
 
 
+def cite(citation: DataFrame, new: DataFrame, memory: DataFrame) -> DataFrame:
+    """Citations after new ones (citation_id, memory_id, ...): a known id stays as it is, one of a note that isn't there is refused."""
+    known = new.join(memory.select("memory_id").distinct(), "memory_id", "left_semi").join(citation.select("citation_id"), "citation_id", "left_anti")
+    return citation.unionByName(known.dropDuplicates(["citation_id"]).select(*citation.columns))
+
+
+def page(rows: DataFrame, key: str, limit: int, after: str | int | None = None) -> DataFrame:
+    """Rows in order of their key, those after a key only: notes by memory_id, links by link_id, registry entries by registry_id."""
+    return (rows if after is None else rows.where(F.col(key) > after)).orderBy(key).limit(limit)
+
+
 def views(memory: DataFrame) -> DataFrame:
     """memory with multiple_active and conflicted, for active rows only: several in one (subject, scope), and different claims there."""
     active = F.col("status") == "active"

@@ -72,6 +72,68 @@ class Model:
         )
         return order.union(link).distinct()
 
+    @property
+    def occurrence(self) -> DataFrame:
+        """Classes and functions occur in the files of the suppliers of their items."""
+        where = F.concat(F.lit("supp/"), F.col("l_suppkey").cast("string"))
+        each = [self.items.groupBy(F.concat(F.lit(a), F.col(c).cast("string")).alias("entity_id"), where.alias("file_path")).agg(F.min("l_linenumber").cast("long").alias("start_line")) for a, c in (("class_", "l_orderkey"), ("fn_", "l_partkey"))]
+        rows = each[0].union(each[1])
+        return rows.select(F.concat_ws("@", "entity_id", "file_path").alias("occurrence_id"), "entity_id", "file_path", "start_line", (F.col("start_line") * 10).alias("start_byte"), (F.col("start_line") * 10 + 9).alias("end_byte"))
+
+    @property
+    def commit_owner(self) -> DataFrame:
+        """(o_custkey, o_orderkey, committer_time)"""
+        return self.commit.join(self.raw("orders").select(F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("commit_oid"), "o_orderkey", "o_custkey"), "commit_oid").select("o_custkey", "o_orderkey", "committer_time")
+
+    @property
+    def rename(self) -> DataFrame:
+        """Neighbouring paths of a commit as renames of one another."""
+        from pyspark.sql import Window
+
+        nxt = F.lead("path").over(Window.partitionBy("commit_oid").orderBy("path"))
+        return self.change.select("commit_oid", F.col("path").alias("from_path"), nxt.alias("to_path")).where("to_path IS NOT NULL")
+
+    @property
+    def markdown(self) -> DataFrame:
+        """(path, text): a Markdown file a part."""
+        s = lambda c: F.col(c).cast("string")
+        last = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("# "), "p_type")).otherwise(F.concat(F.lit("### "), "p_type", F.lit(" ###")))
+        link = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("See [size](part/"), s("p_size"), F.lit(".md) and `[no](x)`."))).otherwise("No link here.")
+        lines = [F.concat(F.lit("# "), "p_name"), F.lit(""), F.lit("```sql"), F.lit("# no heading"), F.lit("```"), s("p_brand"), F.lit("---"), link, last, F.lit("    # code")]
+        return self.raw("part").select(s("p_partkey").alias("path"), F.concat_ws("\n", *lines).alias("text"))
+
+    @property
+    def decisions(self) -> DataFrame:
+        """(path, text): a decision record a nation; odd ones supersede the one before."""
+        k = F.col("n_nationkey")
+        status = F.when(k % 3 == 0, "Accepted").otherwise("Superseded")
+        head = F.concat(F.lit("# ADR-"), k.cast("string"), F.lit(" A decision\n\nStatus: "), status)
+        tail = F.when(k % 2 == 1, F.concat(F.lit("\nSupersedes: ADR-"), (k - 1).cast("string"))).otherwise("")
+        return self.raw("nation").select(F.concat(F.lit("adr/"), F.lpad(k.cast("string"), 4, "0"), F.lit("-x.md")).alias("path"), F.concat(head, tail, F.lit("\n")).alias("text"))
+
+    @property
+    def python(self) -> DataFrame:
+        """(path, text): a Python file a supplier."""
+        n = F.concat(F.lit("n"), F.col("s_nationkey").cast("string"))
+        source = F.concat(F.lit("import os\nfrom .pkg import "), n, F.lit("\nclass C:\n    def run(self):\n        return os.getcwd()\n\ndef main():\n    return C().run()\n"))
+        return self.raw("supplier").select(F.col("s_suppkey").cast("string").alias("path"), source.alias("text"))
+
+    @property
+    def lcov(self) -> DataFrame:
+        """(report, record, value): the records of 50 coverage reports, each with a test name and a bad line."""
+        rows = self.items.select((F.col("l_orderkey") % 50).cast("string").alias("report"), F.col("l_suppkey").alias("f"), F.concat(F.lit("DA:"), F.col("l_linenumber").cast("string"), F.lit(","), F.col("l_quantity").cast("long").cast("string")).alias("da"))
+        by = rows.groupBy("report", "f").agg(F.array_join(F.sort_array(F.collect_list("da")), "\n").alias("das"))
+        f = F.col("f").cast("string")
+        return by.select("report", F.col("f").cast("long").alias("record"), F.concat(F.lit("TN:t\nSF:src/"), f, F.lit(".ts\n"), "das", F.lit("\nDA:0,1\n")).alias("value"))
+
+    @property
+    def rewrite(self) -> DataFrame:
+        """(commit_oid, path, change_kind, blob_oid, text): four documents a commit, each deleted and added with another first line; sentences are lines."""
+        t = F.replace(F.col("text"), F.lit(". "), F.lit(".\n"))
+        gone = self.raw("documents").select(F.floor(F.col("doc_id") / 4).cast("string").alias("commit_oid"), F.concat(F.lit("old/"), F.col("doc_id").cast("string")).alias("path"), F.lit("deleted").alias("change_kind"), t.alias("text"))
+        come = gone.select("commit_oid", F.replace("path", F.lit("old"), F.lit("new")).alias("path"), F.lit("added").alias("change_kind"), F.concat(F.lit("x "), "text").alias("text"))
+        return gone.union(come).select("commit_oid", "path", "change_kind", F.sha2("text", 256).alias("blob_oid"), "text")
+
     @property
     def commit(self) -> DataFrame:
         """A commit an order; its parent is the customer's order before it."""
@@ -106,6 +168,13 @@ class Model:
     def blob(self) -> DataFrame:
         return self.raw("documents").select(F.sha2("text", 256).alias("blob_oid"), F.col("text").alias("content")).dropDuplicates(["blob_oid"])
 
+    @property
+    def edge(self) -> DataFrame:
+        """(src, dst): from each customer to the customers numbered as its first and its last order, modulo their number."""
+        n = self.raw("customer").count()
+        by = self.raw("orders").groupBy(F.col("o_custkey").alias("src")).agg(F.min("o_orderkey").alias("a"), F.max("o_orderkey").alias("b"))
+        return by.select("src", F.explode(F.array("a", "b")).alias("k")).select("src", F.pmod("k", F.lit(n)).alias("dst")).distinct()
+
     @property
     def span(self) -> DataFrame:
         """An order is a symbol of its customer's file, from its date to its last shipment, in days."""
@@ -153,6 +222,9 @@ SQL = {
     "parent": """SELECT commit_oid, lag(commit_oid) OVER (PARTITION BY o_custkey ORDER BY committer_time, commit_oid) AS parent_oid FROM commits""",
     "change": """SELECT lpad(l_orderkey::VARCHAR, 10, '0') AS commit_oid, 'part/' || l_partkey AS path, CASE min(l_returnflag) WHEN 'N' THEN 'added' WHEN 'R' THEN 'modified' ELSE 'deleted' END AS change_kind FROM lineitem GROUP BY l_orderkey, l_partkey""",
     "content": """SELECT (n_chars // 20)::VARCHAR AS commit_oid, 'doc/' || doc_id AS path, CASE WHEN doc_id % 2 = 0 THEN 'deleted' ELSE 'added' END AS change_kind, sha256(text) AS blob_oid, text FROM documents""",
+    "rewrite": """SELECT commit_oid, path, change_kind, sha256(text) AS blob_oid, text FROM (SELECT (doc_id // 4)::VARCHAR AS commit_oid, 'old/' || doc_id AS path, 'deleted' AS change_kind, replace(text, '. ', '.' || chr(10)) AS text FROM documents UNION ALL SELECT (doc_id // 4)::VARCHAR, 'new/' || doc_id, 'added', 'x ' || replace(text, '. ', '.' || chr(10)) FROM documents)""",
+    "occurrence": """SELECT entity_id || '@' || file_path AS occurrence_id, entity_id, file_path, start_line, start_line * 10 AS start_byte, start_line * 10 + 9 AS end_byte FROM (SELECT 'class_' || l_orderkey AS entity_id, 'supp/' || l_suppkey AS file_path, min(l_linenumber)::BIGINT AS start_line FROM lineitem GROUP BY ALL UNION ALL SELECT 'fn_' || l_partkey, 'supp/' || l_suppkey, min(l_linenumber)::BIGINT FROM lineitem GROUP BY ALL)""",
+    "edge": """SELECT o_custkey AS src, min(o_orderkey) % (SELECT count(*) FROM customer) AS dst FROM orders GROUP BY o_custkey UNION SELECT o_custkey, max(o_orderkey) % (SELECT count(*) FROM customer) FROM orders GROUP BY o_custkey""",
     "span": """SELECT o_custkey AS file, o_orderkey AS symbol, least(a, b) AS start_line, greatest(a, b) AS end_line FROM (SELECT o_custkey, o_orderkey, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) AS a, (SELECT date_diff('day', DATE '1992-01-01', max(l_shipdate)::DATE) FROM lineitem WHERE l_orderkey = o_orderkey) AS b FROM orders) WHERE b IS NOT NULL""",
     "line": """SELECT o_custkey AS file, date_diff('day', DATE '1992-01-01', l_shipdate::DATE) AS line, CASE WHEN l_linestatus = 'F' THEN l_quantity::BIGINT ELSE 0 END AS hits FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "transition": """SELECT conv_id AS memory_id, turn AS event_id, CASE WHEN turn = 0 THEN 'proposed' WHEN turn = 1 THEN 'active' WHEN turn % 3 = 2 THEN 'superseded' ELSE 'invalidated' END AS to_status FROM conversations""",

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import fnmatch
-from collections.abc import Iterator
-from pathlib import PurePosixPath
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -70,9 +68,3 @@ def snippet(files: DataFrame, path: str, first: int, last: int, most_lines: int
     cut = F.array_join(F.slice(F.split("text", "\n"), first, max(n, 0)), "\n")
     rows = files.where((F.col("path") == path) & (F.col("outcome") == "file")).select(cut.alias("text"))
     return rows.select(F.substring("text", 1, most_bytes).alias("text"), (F.lit(n < last - first + 1) | (F.length("text") > most_bytes)).alias("truncated"))
-
-
-def parents_of(path: str) -> Iterator[str]:
-    for p in PurePosixPath(path).parents:
-        if str(p) != ".":
-            yield str(p)

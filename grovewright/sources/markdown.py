@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ATX = re.compile(r"^ {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$")
@@ -83,10 +83,11 @@ def blocks(docs: DataFrame, path_column: str = "path", text_column: str = "text"
 
 def sections(found: DataFrame, lengths: DataFrame) -> DataFrame:
     """Headings with the last line of their section: the one before the next heading of the same or a higher level."""
-    h = found.where("kind = 'heading'")
-    nxt = h.select("path", F.col("line").alias("l2"), F.col("level").alias("v2"))
-    end = h.join(nxt, "path", "left").where("l2 IS NULL OR (l2 > line AND v2 <= level) OR l2 <= line OR v2 > level").groupBy("path", "level", "text", "line").agg(F.min(F.when((F.col("l2") > F.col("line")) & (F.col("v2") <= F.col("level")), F.col("l2"))).alias("nxt"))
-    return end.join(lengths, "path").select("path", "level", "text", "line", F.coalesce(F.col("nxt") - 1, F.col("lines")).alias("end_line"))
+    h = found.where("kind = 'heading'").select("path", "level", "text", "line")
+    later = Window.partitionBy("path").orderBy("line").rowsBetween(1, Window.unboundedFollowing)
+    ends = [F.min(F.when(F.col("level") <= v, F.col("line"))).over(later) for v in range(1, 7)]  # one for each level there is
+    h = h.withColumn("next", F.get(F.array(*ends), F.col("level") - 1))
+    return h.join(lengths, "path").select("path", "level", "text", "line", F.coalesce(F.col("next") - 1, F.col("lines")).alias("end_line"))
 
 
 def outcome(destination: Column) -> Column:

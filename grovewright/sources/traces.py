@@ -45,7 +45,13 @@ def read_lcov(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """
     raw = spark.read.option("lineSep", "end_of_record").text(path).select(F.col("_metadata.file_path").alias("report"), "value", F.monotonically_increasing_id().alias("record"))
     last = raw.groupBy("report").agg(F.max("record").alias("record")).withColumn("tail", F.lit(True))
-    rec = raw.join(last, ["report", "record"], "left").select("report", "record", F.coalesce("tail", F.lit(False)).alias("tail"), F.regexp_extract("value", r"(?m)^SF:(.+?)\s*$", 1).alias("file"), F.split("value", r"\r?\n").alias("ls"))
+    return parse_lcov(raw.join(last, ["report", "record"], "left"))
+
+
+def parse_lcov(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same from records (report, record, value, and tail: true of what follows the last end_of_record)."""
+    tail = F.coalesce("tail", F.lit(False)) if "tail" in raw.columns else F.lit(False)
+    rec = raw.select("report", "record", tail.alias("tail"), F.regexp_extract("value", r"(?m)^SF:(.+?)\s*$", 1).alias("file"), F.split("value", r"\r?\n").alias("ls"))
     rec = rec.withColumn("ls", F.filter("ls", lambda x: F.trim(x) != "")).where("size(ls) > 0")
     whole = rec.where("NOT tail AND file != ''")
     da = whole.select("report", "file", F.explode(F.filter("ls", lambda x: x.startswith("DA:"))).alias("l")).select("report", "file", F.regexp_extract("l", r"^DA:(\d+),(\d+)(?:,.*)?$", 1).try_cast("long").alias("line"), F.regexp_extract("l", r"^DA:(\d+),(\d+)(?:,.*)?$", 2).try_cast("long").alias("hits"))

@@ -194,7 +194,8 @@ def test_state_diff(spark):
     assert kind == "diff" and [r.commit_oid for r in commits.collect()] == ["d", "c"] and changes.count() == 2
     assert history.state_diff(commit, change, "d", "b")[0] == "not_an_ancestor" and history.state_diff(commit, change, "a", "e")[0] == "ancestry_incomplete"
     assert history.state_diff(commit, change, "a", "zz")[0] == "state_not_recorded" and history.state_diff(commit, change, "a", "d", 1)[0] == "walk_budget_exhausted"
-    assert [history.history_freshness(*x) for x in ((None, "a"), ("a", None), ("a", "a"), ("a", "b"))] == ["no_history_ingested", "unverifiable", "current", "stale"]
+    heads = spark.createDataFrame([(1, None, "a"), (2, "a", None), (3, "a", "a"), (4, "a", "b")], "repo_id int, ingested_head string, head string")
+    assert [r.freshness for r in sorted(history.history_freshness(heads).collect())] == ["no_history_ingested", "unverifiable", "current", "stale"]
 
 
 def test_coverage(spark):
@@ -238,8 +239,20 @@ def test_incremental(spark):
     star = spark.createDataFrame([("a", 0, "b"), ("d", 0, "a"), ("b", 0, "d")], "module string, position int, target string")
     out = {(r.module, r.name): (r.origin_module, r.origin_name) for r in incremental.export_closure(local, named, star).collect()}
     assert out[("a", "x")] == ("a", "x") and out[("a", "y")] == ("b", "y") and out[("d", "y")] == ("c", "z") and ("a", "default") not in out and out[("d", "q")] == ("c", "z")
-    pairs = spark.createDataFrame([("g", "a", "x"), ("g", "b", "x"), ("g", "b", "y")], "group string, from_path string, to_path string")
-    assert rows(incremental.greedy_claims(pairs)) == [("g", "a", "x"), ("g", "b", "y")]
+
+
+def test_moves(spark):
+    """The next best is taken where the best is claimed; ties take none; groups of many equal files are decided at once."""
+    def side(**files):
+        return spark.createDataFrame([(p, x) for p, xs in files.items() for x in xs], "path string, symbol string")
+
+    twelve, four = [f"s{i}" for i in range(12)], [f"t{i}" for i in range(4)]
+    removed, added = side(a=twelve, b=four, c=four), side(X=[*twelve, *(f"x{i}" for i in range(12))], Y=twelve[:11], P=four, Q=[*four[:3]])
+    assert rows(incremental.move_proposals(removed, added).select("from_path", "to_path")) == [("a", "X"), ("b", "P"), ("c", "Q")]
+    assert incremental.move_proposals(side(a=four), side(x=four, y=four)).isEmpty()
+    many = incremental.move_proposals(side(**{f"f{i:02}": four for i in range(40)}), side(**{f"g{i:02}": four for i in range(40)}))
+    assert many.isEmpty()  # all are tied; the last one too, for none is ever claimed
+    assert rows(incremental.move_proposals(side(a=["x", "x", "y"]), side(b=["x", "y", "z"])).select("matched", "larger")) == [(2, 3)]
 
 
 def test_export_chains(spark):

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from grovewright.plans import queries
+from grovewright.plans import inventory, queries  # noqa: F401  inventory registers more
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
