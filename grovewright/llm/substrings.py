@@ -169,6 +169,25 @@ def union_of(places: list) -> list:
     return out
 
 
+def unions(keys: list, first: np.ndarray, last: np.ndarray, n: np.ndarray) -> tuple:
+    """(keys, first, last, n, index of the key): intervals sorted and joined by key where they touch; n summed by key, at its first interval."""
+    order = np.lexsort((first, *keys[::-1]))
+    keys, first, last, n = [k[order] for k in keys], first[order], last[order], n[order]
+    new = np.ones(len(first), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    of = np.cumsum(new) - 1
+    apart = of << np.int64(40)  # no text has so many words, so the running greatest end starts anew with each key
+    ends = np.maximum.accumulate(last + apart)
+    head = np.ones(len(first), bool)
+    head[1:] = (first + apart)[1:] > ends[:-1]
+    at = np.flatnonzero(head)
+    total = np.zeros(len(at), np.int64)
+    if len(at):
+        ends = np.maximum.reduceat(ends, at) - apart[at]
+        total[new[at]] = np.add.reduceat(n, np.flatnonzero(new))
+    return [k[at] for k in keys], first[at], ends, total, of[at]
+
+
 def references(each: DataFrame) -> DataFrame:
     """(src, src_tie, block, n, places) of rows (..., n, runs): a row for each block that runs point to, with the places in it (first, last).
 
@@ -177,52 +196,65 @@ def references(each: DataFrame) -> DataFrame:
     """
     kind = f"src long, src_tie int, block long, part int, n long, places {PLACES}"
 
-    def merge(rows):
-        """rows (key, n, places) to record batches; holds a bounded number of places."""
-        held: dict = {}
-        size = 0
+    def merged(parts):
+        """parts (keys, first, last, n) to record batches; a key may come again in a later one."""
+        held, size = [], 0
+
+        def joined():
+            return unions([np.concatenate([h[0][i] for h in held]) for i in range(4)], *(np.concatenate([h[i] for h in held]) for i in (1, 2, 3)))
 
-        def flush():
-            keys = list(held)
-            cols = [pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.int32()))]
-            places = pa.array([[{"first": a, "last": b} for a, b in union_of(held[k][1])] for k in keys], pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))
-            return pa.RecordBatch.from_arrays([*cols, pa.array([held[k][0] for k in keys], pa.int64()), places], names=["src", "src_tie", "block", "part", "n", "places"])
-
-        for key, n, places in rows:
-            mine = held.setdefault(key, [0, [], 64])
-            mine[0] += n
-            mine[1] += places
-            size += len(places)
-            if len(mine[1]) > mine[2]:
-                size -= len(mine[1])
-                mine[1] = [tuple(x) for x in union_of(mine[1])]
-                mine[2] = max(64, 2 * len(mine[1]))
-                size += len(mine[1])
-            if size > 300_000:
-                yield flush()
-                held.clear()
-                size = 0
-        if held:
-            yield flush()
+        def batch(keys, first, last, n, of):
+            new = np.ones(len(of), bool)
+            new[1:] = of[1:] != of[:-1]
+            head = np.flatnonzero(new)
+            rows = pa.StructArray.from_arrays([pa.array(first), pa.array(last)], names=["first", "last"])
+            kinds = (np.int64, np.int32, np.int64, np.int32)
+            places = pa.ListArray.from_arrays(pa.array(np.append(head, len(of)).astype(np.int32)), rows)
+            return pa.RecordBatch.from_arrays([*(pa.array(k[head].astype(t)) for k, t in zip(keys, kinds)), pa.array(n[head]), places], names=["src", "src_tie", "block", "part", "n", "places"])
+
+        for part in parts:
+            held.append(part)
+            size += len(part[1])
+            if size > 400_000:
+                out = joined()
+                if len(out[1]) > 200_000:
+                    yield batch(*out)
+                    held, size = [], 0
+                else:
+                    held, size = [out[:4]], len(out[1])
+        if size:
+            yield batch(*joined())
+
+    def at_head(n: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """n at the first of each row's places, 0 at the others."""
+        out = np.zeros(int(counts.sum()), np.int64)
+        out[(np.cumsum(counts) - counts)[counts > 0]] = n[counts > 0]
+        return out
 
     def pointed(batches):
-        def rows():
+        def parts():
             for batch in batches:
-                cols = [batch.column(i).to_pylist() for i in range(4)]
-                for lo in range(0, batch.num_rows, 256):
-                    for *key, n, rs in zip(*(c[lo : lo + 256] for c in cols), batch.column(4).slice(lo, 256).to_pylist()):
-                        yield (*key, 0), n, [(r["src_start"], r["src_start"] + r["length"]) for r in rs]
+                counts = np.diff(batch.column(4).offsets.to_numpy())
+                flat = batch.column(4).flatten()
+                first, length = (flat.field(i).to_numpy(zero_copy_only=False) for i in (2, 1))
+                keys = [np.repeat(batch.column(i).to_numpy().astype(np.int64), counts) for i in range(3)]
+                yield [*keys, np.zeros(len(first), np.int64)], first, first + length, at_head(batch.column(3).to_numpy(), counts)
 
-        yield from merge(rows())
+        yield from merged(parts())
 
     def summed(batches):
-        def rows():
+        def parts():
             for batch in batches:
-                cols = [batch.column(i).to_pylist() for i in range(5)]
-                for i, (*key, n) in enumerate(zip(*cols)):
-                    yield tuple(key), n, [(p["first"], p["last"]) for some in batch.column(5)[i].as_py() for p in some]
+                lists = batch.column(5)
+                inner = lists.flatten()
+                each_ = np.diff(inner.offsets.to_numpy())
+                row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+                counts = np.bincount(row, each_, batch.num_rows).astype(np.int64)
+                flat = inner.flatten()
+                keys = [np.repeat(batch.column(i).to_numpy().astype(np.int64), counts) for i in range(4)]
+                yield keys, *(flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1)), at_head(batch.column(4).to_numpy(), counts)
 
-        yield from merge(rows())
+        yield from merged(parts())
 
     out = each.select(*SOURCE, "n", "runs").mapInArrow(tidied(pointed), kind).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(64)))
     for part in (F.col("part"), F.lit(0)):
@@ -387,6 +419,7 @@ def copies(docs: DataFrame, least: int) -> DataFrame:
     keyed = durable(docs.where(size >= 2 * least - 1).select("doc_id", "tie", size.alias("size"), F.unhex(F.sha2("text", 256)).alias("key")))
     me = F.struct("doc_id", "tie")
     first = keyed.groupBy("key").agg(F.min(me).alias("first"), F.max(me).alias("last")).where("first != last").drop("last")
+    first = durable(first)  # both sides of the join come from plain shuffles, so a hot text can be split
     found = keyed.join(first, "key").where(me > F.col("first")).dropDuplicates(["doc_id", "tie"])
     blocks = F.sequence(F.lit(0).cast("long"), F.floor((F.col("size") + 1) / (2 * BLOCK)).cast("long"))
     found = found.select("doc_id", "tie", F.col("first.doc_id").alias("src"), F.col("first.tie").alias("src_tie"), F.ceil(F.col("size") / 6).cast("long").alias("n"), F.explode(blocks).alias("block"))
