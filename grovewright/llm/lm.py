@@ -12,9 +12,13 @@ last CONTEXT words' vectors, each scaled by a vector of its distance; its produc
 the class vectors, plus biases, are normalised over all classes by one matrix product a
 block of tokens.
 
-Training. A start is learned from about START_DOCS texts in one task (a documented bound, only
-to give all tasks the same start); then each task trains on all texts of its partition,
-and the parameters are averaged by tokens, in two levels of sums on executors.
+Training. Texts are encoded once and dealt by a hash of id and text to training parts of
+about PART_TOKENS tokens, and within these, by the same hash, to ROUNDS rounds, fixed
+shares of the data. In a round each part trains a copy of the model on its texts in the
+order of their hashes; then the parameters (and the sums of squared gradients that set
+the step sizes) are averaged by tokens, in two levels of sums on executors, and the next
+round goes on from there. So each text is trained on once, and the model depends on the
+rows alone, not on how they are partitioned.
 
 Null and empty texts are one end. Repeated rows get a row each. Extra columns are ignored.
 Without training texts all counts are 0 and both scores are those of an empty model.
@@ -31,10 +35,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE, Shared, WordHash, fold, part_of, raw, stored, tidied
+from .common import CACHE, Shared, WordHash, discard, fold, raw, stored, tidied, tidied_groups
 
 HEAD, TOP, ENDINGS, INPUTS, DIM, CONTEXT = 100_000, 128, 63, 4096, 16, 3
-NOISE, BLOCK, START_DOCS, RATE = 32, 8192, 1000, 0.1
+NOISE, BLOCK, RATE = 32, 8192, 0.1
+PART_TOKENS, ROUNDS = 2_000_000, (1 / 16, 1 / 4, 1 / 2, 1)  # the rounds' shares, summed up
 SCORED = 1024  # tokens scored at once: their products with all classes stay in the cache
 SMOOTH = 0.1
 CHUNK = 16_384
@@ -186,6 +191,17 @@ class Model:
             at += x.size
         return Model(*out)
 
+    def state(self) -> np.ndarray:
+        """Parameters and squared gradients, in one."""
+        g = self.g or [np.full_like(x, 1e-2) for x in (self.r, self.c, self.q, self.b)]
+        return np.concatenate([self.flat(), *[x.ravel() for x in g]]).astype(np.float32)
+
+    def resumed(self, state: np.ndarray) -> Model:
+        half = len(state) // 2
+        out, g = self.of(state[:half]), self.of(state[half:])
+        out.g = [g.r, g.c, g.q, g.b]
+        return out
+
     def contexts(self, inputs: np.ndarray, at: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         before = [inputs[at - 1 - i] for i in range(CONTEXT)]
         p = self.r[before[0]] * self.c[0]
@@ -236,64 +252,89 @@ def spread(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return np.stack([np.bincount(index, rows[:, j], n) for j in range(rows.shape[1])], axis=1)
 
 
-def train_on(model: Model, v: Vocabulary, batches, passes: int = 1) -> int:
-    """Train in place on the texts of Arrow batches; the number of tokens."""
-    codes, rng, tokens = Codes(v), np.random.default_rng(1), 0
+def train_on(model: Model, v: Vocabulary, texts: list[np.ndarray], seed: int) -> int:
+    """Train in place on encoded texts (codes after CONTEXT starts, the end among them); the number of tokens."""
+    rng, tokens = np.random.default_rng(seed), 0
     noise = v.noise.astype(np.float32)
     cumulative = np.cumsum(v.noise)
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 512):
-            texts = [(t or b"").lower().split() for t in raw(batch.column(0).slice(lo, 512))]
-            laid, at = laid_out(texts, codes)
-            inputs, classes = v.input_of[laid], v.class_of[laid]
-            tokens += len(at)
-            for _ in range(passes):
-                rng.shuffle(at)
-                for k in range(0, len(at), BLOCK):
-                    draw = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), len(noise) - 1)
-                    model.step(inputs, classes, at[k : k + BLOCK], noise, draw)
+    for lo in range(0, len(texts), 512):
+        some = texts[lo : lo + 512]
+        laid = np.concatenate(some)
+        own = np.ones(len(laid), bool)
+        begins = np.cumsum([0, *map(len, some)])[:-1]
+        for k in range(CONTEXT):
+            own[begins + k] = False
+        at = np.flatnonzero(own)
+        inputs, classes = v.input_of[laid], v.class_of[laid]
+        tokens += len(at)
+        rng.shuffle(at)
+        for k in range(0, len(at), BLOCK):
+            draw = np.minimum(np.searchsorted(cumulative, rng.random(NOISE)), len(noise) - 1)
+            model.step(inputs, classes, at[k : k + BLOCK], noise, draw)
     return tokens
 
 
+def encoded(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """(part, round, key, codes: 32-bit codes) of training texts (doc_id, text)."""
+    held = Shared(docs.sparkSession, v)  # bounded by HEAD
+    parts = max(1, -(-v.tokens // PART_TOKENS))
+    key = F.xxhash64("doc_id", "text")
+    share = F.pmod(key, F.lit(1 << 16)) / (1 << 16)
+    turn = F.lit(len(ROUNDS) - 1)
+    for i in reversed(range(len(ROUNDS) - 1)):
+        turn = F.when(share < ROUNDS[i], i).otherwise(turn)
+    rows = docs.select(F.pmod(F.shiftright(key, 16), F.lit(parts)).cast("int").alias("part"), turn.cast("int").alias("round"), key.alias("key"), "text")
+
+    def run(batches):
+        codes = Codes(held.value)
+        lead, tail = [codes.v.start] * CONTEXT, [codes.v.end]
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                part = batch.slice(lo, 512)
+                out = [np.array([*lead, *map(codes.__getitem__, (t or b"").lower().split()), *tail], np.int32).tobytes() for t in raw(part.column(3))]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(out, pa.binary())], names=["part", "round", "key", "codes"])
+
+    return rows.mapInArrow(tidied(run), "part int, round int, key long, codes binary")
+
+
 def train(docs: DataFrame, v: Vocabulary) -> Model:
-    """docs: the training texts."""
+    """docs: the training texts (doc_id, text)."""
     spark = docs.sparkSession
-    held = Shared(spark, v)  # bounded by HEAD
-    shape = Model.fresh(v)
-
-    def begin(batches):
-        model = Model.fresh(held.value)
-        train_on(model, held.value, batches, passes=4)
-        yield pa.RecordBatch.from_pydict({"flat": pa.array([model.flat().tobytes()], pa.binary())})
-
-    few = docs.where(part_of("doc_id", START_DOCS, v.end_count)).repartition(1)
-    got = few.select("text").mapInArrow(tidied(begin), "flat binary").collect()
-    start = Shared(spark, np.frombuffer(bytes(got[0]["flat"]), np.float32) if got else shape.flat())
-    salts = max(1, math.isqrt(docs.rdd.getNumPartitions()))
-
-    def learn(batches):
-        from pyspark import TaskContext
-
-        model = shape.of(start.value)
-        n = train_on(model, held.value, batches)
-        flat = model.flat().astype(np.float64) * n
-        chunks = [flat[k : k + CHUNK].tobytes() for k in range(0, len(flat), CHUNK)] if n else []
-        salt = TaskContext.get().partitionId() % salts
-        yield pa.RecordBatch.from_pydict({
-            "chunk": pa.array(range(len(chunks)), pa.int32()), "salt": pa.array([salt] * len(chunks), pa.int32()), "n": pa.array([n] * len(chunks), pa.int64()), "v": pa.array(chunks, pa.binary())
-        })
+    texts = stored(encoded(docs, v))
+    held, shape = Shared(spark, v), Model.fresh(v)
+    state = shape.state()
+    salts = max(1, math.isqrt(-(-v.tokens // PART_TOKENS)))
+    kind = "chunk int, salt int, part int, n long, v binary"
+
+    def rows_of(flat: np.ndarray, n: int, salt: int, part: int) -> pa.Table:
+        chunks = [flat[k : k + CHUNK].tobytes() for k in range(0, len(flat), CHUNK)]
+        m = len(chunks)
+        return pa.table({"chunk": pa.array(range(m), pa.int32()), "salt": pa.array([salt] * m, pa.int32()), "part": pa.array([part] * m, pa.int32()), "n": pa.array([n] * m, pa.int64()), "v": pa.array(chunks, pa.binary())})
 
     def add(t: pa.Table) -> pa.Table:
         acc = None
-        for x in t.column("v"):
+        for x in t.sort_by("part").column("v"):  # in one order, for the same sum to the last digit
             one = np.frombuffer(x.as_buffer(), np.float64)
             acc = one.copy() if acc is None else acc + one
-        return pa.table({"chunk": t.column("chunk").slice(0, 1), "salt": pa.array([0], pa.int32()), "n": pa.array([sum(t.column("n").to_pylist())], pa.int64()), "v": pa.array([acc.tobytes()], pa.binary())})
-
-    kind = "chunk int, salt int, n long, v binary"
-    sums = docs.select("text").mapInArrow(tidied(learn), kind).groupBy("chunk", "salt").applyInArrow(add, kind).groupBy("chunk").applyInArrow(add, kind)
-    rows = sums.orderBy("chunk").collect()  # one model
-    return shape.of(np.concatenate([np.frombuffer(bytes(r["v"]), np.float64) / r["n"] for r in rows]).astype(np.float32) if rows else start.value)
+        return pa.table({"chunk": t.column("chunk").slice(0, 1), "salt": pa.array([0], pa.int32()), "part": t.column("salt").slice(0, 1), "n": pa.array([sum(t.column("n").to_pylist())], pa.int64()), "v": pa.array([acc.tobytes()], pa.binary())})
+
+    for number in range(len(ROUNDS)):
+        start = Shared(spark, state)
+
+        def learn(t: pa.Table, number=number, start=start) -> pa.Table:
+            t = t.sort_by("key")
+            part = t.column("part")[0].as_py()
+            model = shape.resumed(start.value)
+            n = train_on(model, held.value, [np.frombuffer(x.as_buffer(), np.int32) for x in t.column("codes")], part * len(ROUNDS) + number)
+            return rows_of(model.state().astype(np.float64) * n, n, part % salts, part)
+
+        learned = texts.where(F.col("round") == number).groupBy("part").applyInArrow(tidied_groups(learn, 1), kind)  # PART_TOKENS codes, about
+        sums = learned.groupBy("chunk", "salt").applyInArrow(add, kind).groupBy("chunk").applyInArrow(add, kind)
+        rows = sums.orderBy("chunk").collect()  # one model
+        if rows:
+            state = np.concatenate([np.frombuffer(bytes(r["v"]), np.float64) / r["n"] for r in rows]).astype(np.float32)
+    discard(texts)
+    return shape.resumed(state)
 
 
 def score(docs: DataFrame, counts: DataFrame, v: Vocabulary, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -51,6 +51,45 @@ def test_small_head(spark, odd, odd_docs, empty_docs, monkeypatch):
     check(lm.score_corpus(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect(), docs)
 
 
+def test_partitions(spark, monkeypatch):
+    """The model depends on the rows, not on their partitions, with one training part and with several."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    for tokens in (10**9, 20_000):
+        monkeypatch.setattr(lm, "PART_TOKENS", tokens)
+        got = [{r.doc_id: r.score for r in lm.score_corpus(docs.repartition(n)).collect()} for n in (1, 6, 50)]
+        for other in got[1:]:
+            assert all(math.isclose(got[0][i], other[i], rel_tol=1e-6) for i in got[0])
+
+
+def plain_scores(docs, v, model, counts):
+    """score by loops over tokens: log10 of the class's softmax and of the word's share of its class."""
+    c = {r.h: r.c for r in counts.collect()}
+    hashed, codes, out = lm.WordHash(), lm.Codes(v), {}
+    for i, t in docs:
+        words = (t or "").encode().lower().split()
+        code = [v.start] * lm.CONTEXT + [codes[w] for w in words] + [v.end]
+        total = 0.0
+        for k, w in enumerate([*words, None]):
+            p = sum(model.r[v.input_of[code[k + lm.CONTEXT - 1 - d]]].astype(float) * model.c[d] for d in range(lm.CONTEXT))
+            logits = model.q.astype(float) @ p + model.b
+            y = v.class_of[code[k + lm.CONTEXT]]
+            own = c.get(None, 0) if w is None else c.get(int(hashed.of([w]).view(np.int64)[0]), 0)
+            total += (logits[y] - math.log(np.exp(logits).sum())) / math.log(10) + math.log10(own + 0.1) - v.log_mass[y]
+        out[i] = total
+    return out
+
+
+def test_score_by_brute_force(spark):
+    docs = pd.read_parquet("/root/testdata/sf0.001/documents.parquet").head(40)
+    df = spark.createDataFrame([(int(i), t) for i, t in zip(docs.doc_id, docs.text)], "doc_id long, text string")
+    counts = lm.stored(lm.word_counts(df.where("doc_id % 3 > 0")))
+    v = lm.vocabulary(counts)
+    model = lm.train(df.where("doc_id % 3 > 0"), v)
+    want = plain_scores(list(zip(docs.doc_id, docs.text)), v, model, counts)
+    for r in lm.score(df, counts, v, model).collect():
+        assert math.isclose(r.score, want[r.doc_id], rel_tol=1e-4)
+
+
 def test_normalised(spark):
     """All outcomes of the next token, the unknown word of each class among them, sum to 1."""
     docs = spark.createDataFrame([(i, f"a b c{i % 7} ab cd{i % 3} the end a") for i in range(60)], "doc_id long, text string")
