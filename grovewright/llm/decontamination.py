@@ -3,13 +3,15 @@
 The test items are a stated query set; they are taken in blocks of at most BLOCK_WORDS
 words, each of which goes to all executors, so what is broadcast has a proven bound. For
 every block the corpus is read twice: to count in how many documents each word n-gram of
-the items occurs, and to look for seeds. An item's rare seeds are its RARE rarest n-grams and
+the items occurs, and to look for seeds in the texts that have any (by a filter of fixed
+size over hashes of texts). An item's rare seeds are its RARE rarest n-grams and
 all others not much more frequent than these; they seed wherever they stand. Its other
 n-grams seed too, but only in documents that hold SHARE / 2 of the item's words: in any
 other no alignment can be reported, so nothing is lost while phrases common in the corpus
 cost one count a document. Around each seed hit the passage is aligned with the item by
 words (match +2, mismatch and gap -1); the score is the share of the item's words that
-match in the best local alignment, 0 below SHARE / 2. A passage that keeps no N words of
+match in the best local alignment, 0 below SHARE / 2. matches() adds the columns __items
+and __score, which docs must not have. A passage that keeps no N words of
 an item in a row (one in N changed throughout) has no seed and scores 0.
 
 Null, empty and short texts align with nothing (score 0). Items with fewer words than an
@@ -28,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE, Shared, WordHash, ngrams, raw, tidied
+from .common import CACHE, Bloom, Shared, WordHash, discard, free, ngrams, raw, stored, tidied
 
 N = 3
 RARE = 12
@@ -81,6 +83,25 @@ def align(item: np.ndarray, text: np.ndarray, match: int = 2, cost: int = 1) ->
     return matched, j, end
 
 
+class Sieve:
+    """Sorted 64-bit hashes with a bitmap of their leading bits, which rules out most others by one look each."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+        self.shift = np.uint64(64 - min(26, max(16, (8 * max(1, len(table))).bit_length())))
+        self.map = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.map[table >> self.shift] = True
+
+    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions in h, places in the table) of the hashes that the table holds."""
+        at = np.flatnonzero(self.map[h >> self.shift])
+        if not len(at):
+            return at, at
+        place = np.minimum(np.searchsorted(self.table, h[at]), len(self.table) - 1)
+        same = self.table[place] == h[at]
+        return at[same], place[same]
+
+
 class Items:
     """A block of items: their word hashes, and n-gram hash -> (item, position)."""
 
@@ -90,8 +111,10 @@ class Items:
         self.words = [hashed.of(SPLIT.sub(b" ", t).split()) for _, t in rows]
         self.grams = [ngrams(w, min(N, len(w))) for w in self.words]
         self.every = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.grams]))
+        self.sieve = Sieve(self.every)
         self.short = sorted({len(w) for w in self.words if len(w) < N})
         self.vocabulary, self.flat = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.words]), return_inverse=True)
+        self.words_sieve = Sieve(self.vocabulary)
         self.size = np.array([len(w) for w in self.words], np.int64)
         self.offset = np.cumsum(self.size) - self.size  # of an item's words in flat
 
@@ -109,35 +132,30 @@ class Items:
         grams = np.concatenate(grams)
         order = np.argsort(grams, kind="stable")
         self.item, self.at, self.rare = (np.concatenate(x)[order] for x in (item, at, rare))
-        self.seeds, self.first, self.times = np.unique(grams[order], return_index=True, return_counts=True)
+        _, self.first, self.times = np.unique(grams[order], return_index=True, return_counts=True)  # in the order of self.every
 
     def enough(self, h: np.ndarray, items: np.ndarray) -> np.ndarray:
         """Which of the items have so many of their words in the text that an alignment can reach SHARE / 2."""
         there = np.zeros(len(self.vocabulary), bool)
-        at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
-        there[at[self.vocabulary[at] == h]] = True
+        there[self.words_sieve.hits(h)[1]] = True
         size = self.size[items]
         begins = np.cumsum(size) - size
         words = self.flat[np.arange(size.sum()) + np.repeat(self.offset[items] - begins, size)]
         return np.add.reduceat(there[words].astype(np.int64), begins) / size >= SHARE / 2
 
-    def found(self, h: np.ndarray, table: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        """(positions, n-grams) of a text's n-grams that the table holds."""
+    def found(self, h: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(positions, places in self.every) of a text's n-grams that items have."""
         out = []
         for n in [N, *self.short]:
-            g = ngrams(h, n)
-            if len(g) and len(table):
-                at = np.minimum(np.searchsorted(table, g), len(table) - 1)
-                hit = np.flatnonzero(table[at] == g)
-                if len(hit):
-                    out.append((hit, g[hit]))
+            hit, place = self.sieve.hits(ngrams(h, n))
+            if len(hit):
+                out.append((hit, place))
         return out
 
     def best(self, h: np.ndarray) -> list[tuple[int, float, int, int]]:
         """(item, share of its words matched, first and last + 1 word) for every item with a seed in the text."""
         windows: dict[int, list[int]] = defaultdict(list)
-        for hits, grams in self.found(h, self.seeds):
-            seed = np.searchsorted(self.seeds, grams)
+        for hits, seed in self.found(h):
             times = self.times[seed]
             each = np.arange(times.sum()) + np.repeat(self.first[seed] - (np.cumsum(times) - times), times)
             item, start, rare = self.item[each], np.repeat(hits, times) - self.at[each], self.rare[each]
@@ -184,24 +202,32 @@ def blocks(benchmark: DataFrame, id_column: str, text_column: str):
         yield Items(held)
 
 
-def frequencies(docs: DataFrame, items: Items) -> np.ndarray:
-    """In how many documents each n-gram of the items occurs; each task counts before anything is moved."""
+def frequencies(docs: DataFrame, items: Items) -> tuple[np.ndarray, Bloom]:
+    """In how many documents (key: hash of the text, text) each n-gram of the items occurs, and a filter of the texts with any; each task counts before anything is moved."""
     held = Shared(docs.sparkSession, items)
 
     def run(batches):
         hashed, items = PlainHash(), held.value
         total = np.zeros(len(items.every), np.int64)
         for batch in batches:
-            for t in raw(batch.column(0)):
-                for _, g in items.found(hashed.of((t or b"").split()), items.every):
-                    total[np.searchsorted(items.every, np.unique(g))] += 1
+            keys = []
+            for key, t in zip(batch.column(0).to_pylist(), raw(batch.column(1))):
+                found = items.found(hashed.of((t or b"").split()))
+                for _, place in found:
+                    total[np.unique(place)] += 1
+                if found:
+                    keys.append(key)
+            yield pa.RecordBatch.from_pydict({"at": pa.array(keys, pa.int64()), "n": pa.array([0] * len(keys), pa.int64())})
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
 
+    rows = stored(docs.mapInArrow(tidied(run), "at long, n long"))
     out = np.zeros(len(items.every), np.int64)
-    for r in docs.select("text").mapInArrow(tidied(run), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # at most the n-grams of a block
+    for r in rows.where("n > 0").groupBy("at").agg(F.sum("n").alias("n")).collect():  # at most the n-grams of a block
         out[r["at"]] = r["n"]
-    return out
+    bloom = Bloom.build(rows.where("n = 0").select("at").distinct(), "at")
+    discard(rows)
+    return out, bloom
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id") -> DataFrame:
@@ -215,21 +241,26 @@ def matches(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", it
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     out = docs.withColumn("__items", F.array().cast(found_type))
     for items in blocks(benchmark, item_column, "text"):
-        items.choose(frequencies(docs.select(F.col(text_column).alias("text")), items))
-        held = Shared(spark, items)
+        frequency, bloom = frequencies(docs.select(F.xxhash64(text_column).alias("key"), F.col(text_column).alias("text")), items)
+        items.choose(frequency)
+        held, bits, bitmap = Shared(spark, items), bloom.bits, spark.sparkContext.broadcast(bloom.data)
 
-        def run(batches, held=held):
-            hashed, items = PlainHash(), held.value
+        def run(batches, held=held, bits=bits, bitmap=bitmap):
+            hashed, items, bloom = PlainHash(), held.value, Bloom(bits, bitmap.value)
             for batch in batches:
                 for lo in range(0, batch.num_rows, 512):
                     part = batch.slice(lo, 512)
+                    may = bloom.has(part.column(len(columns) + 1).to_numpy()).tolist()  # else no n-gram of an item is in the text
                     found = []
-                    for t, before in zip(raw(part.column(at)), part.column(len(columns)).to_pylist()):
+                    for m, t, before in zip(may, raw(part.column(at)), part.column(len(columns)).to_pylist()):
+                        if not m:
+                            found.append(before)
+                            continue
                         best = ((items.ids[k], s, x, y) for k, s, x, y in items.best(hashed.of((t or b"").split())) if s >= SHARE / 2)
                         found.append(before + [{"item_id": i, "score": s, "first": x, "last": y} for i, s, x, y in sorted(best, key=lambda b: (-b[1], b[0]))])
-                    yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(found, found_arrow)], names=part.schema.names)
+                    yield pa.RecordBatch.from_arrays([*part.columns[: len(columns)], pa.array(found, found_arrow)], names=part.schema.names[:-1])
 
-        out = out.mapInArrow(tidied(run), f"{fields}, `__items` {found_type}")
+        out = out.withColumn(free(out, "hash"), F.xxhash64(text_column)).mapInArrow(tidied(run), f"{fields}, `__items` {found_type}")
     return out.withColumn("__score", F.coalesce(F.array_max(F.transform("__items", lambda x: x["score"])), F.lit(0.0)))
 
 

@@ -63,7 +63,7 @@ def test_on_documents(spark, size):
     assert sorted(left.doc_id) == sorted(d for d, (_, c) in component.items() if d == c)
     cut = cp.substring_dedup(spark, spark.createDataFrame(left), sf).toPandas()
     spans = brute_spans(left, cp.MIN_WORDS)
-    assert {d: len(words_of(t)) for d, t in zip(cut.doc_id, cut.text)} == {d: n - gone for d, (n, gone, _) in spans.items()}
+    assert {d: len(words_of(t)) for d, t in zip(cut.doc_id, cut.text)} == {d: n - gone for (d, _), (n, gone, _) in spans.items()}
 
 
 def test_empty_and_null(spark, tmp_path):
