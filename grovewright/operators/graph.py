@@ -35,15 +35,15 @@ def impact(assertion: DataFrame, subject: DataFrame, depth: int = 6, relations:
     frontier, parts = start, []
     for level in range(1, depth + 1):
         step = frontier.withColumnRenamed("entity_id", "via_id").join(edges, "via_id").join(seen, "entity_id", "left_anti")
-        order = [F.asc("rank"), F.asc("relation"), F.asc("entity_id"), F.asc("assertion_id")]
-        first = first_by(step, ["entity_id"], order)
-        # ranks of the next frontier: by the rank of the anchor and the edge; a struct keeps the order without one global sort
-        reached = checkpointed(first.select("entity_id", F.lit(level).alias("depth"), "relation", "via_id", "assertion_id", "rank"))
+        # the edge found first, as a least struct, so that a hub's edges are combined before they are shuffled
+        first = step.groupBy("entity_id").agg(F.min(F.struct("rank", "relation", "assertion_id", "via_id")).alias("e"))
+        reached = checkpointed(first.select("entity_id", F.lit(level).alias("depth"), "e.relation", "e.via_id", "e.assertion_id", "e.rank"))
         if reached.isEmpty():
             break
         parts.append(reached.drop("rank"))
-        seen = checkpointed(seen.union(reached.select("entity_id")))
-        frontier = dense_ranks(reached, ["rank", "relation", "entity_id", "assertion_id"])
+        if level < depth:
+            seen = seen.union(reached.select("entity_id"))
+            frontier = dense_ranks(reached, ["rank", "relation", "entity_id", "assertion_id"])
     if parts:
         return reduce(DataFrame.union, parts)
     return step.select("entity_id", F.lit(0).alias("depth"), "relation", "via_id", "assertion_id").limit(0)
@@ -114,7 +114,8 @@ def neighbourhood(assertion: DataFrame, entity: DataFrame, focus: str, depth: in
 def find_paths(assertion: DataFrame, source: str, target: str, depth: int = 6, limit: int = 3, directed: bool = True, budget: int = 100_000) -> tuple[DataFrame, bool]:
     """(hops, nodes, edges): simple paths, shortest first, then by their edges; and whether the budget cut the search.
 
-    Partial paths are extended a level at a time; a node is never met twice. From a node to
+    Partial paths are extended a level at a time, as long as the extensions tried stay
+    within the budget; a node is never met twice. From a node to
     itself there is one empty path.
     """
     spark = assertion.sparkSession
@@ -124,18 +125,25 @@ def find_paths(assertion: DataFrame, source: str, target: str, depth: int = 6, l
     e = assertion.select(F.col("source_id").alias("at"), F.col("target_id").alias("next"), F.concat_ws("|", "relation", "target_id", "assertion_id").alias("edge"))
     if not directed:
         e = e.union(assertion.select("target_id", "source_id", F.concat_ws("|", "relation", "source_id", "assertion_id", F.lit("back"))))
+    degree = e.groupBy("at").agg(F.count("*").alias("n"))
     partial = spark.createDataFrame([(source, [source], [])], "at string, nodes array<string>, edges array<string>")
-    found, spent = [], 0
+    found, spent, hits = [], 0, 0
     for hops in range(1, depth + 1):
+        # what a level costs is known from the degrees before any path is extended
+        spent += partial.groupBy("at").agg(F.count("*").alias("m")).join(degree, "at").agg(F.sum(F.col("m") * F.col("n")).alias("n")).first()["n"] or 0
+        if spent > budget:
+            break
         step = partial.join(e, "at").where(~F.array_contains("nodes", F.col("next")))
         grown = checkpointed(step.select(F.col("next").alias("at"), F.concat("nodes", F.array("next")).alias("nodes"), F.concat("edges", F.array("edge")).alias("edges")).distinct())
         done = grown.where(F.col("at") == target)
         found.append(done.select(F.lit(hops).alias("hops"), "nodes", "edges"))
-        k = grown.count()
-        spent += k
-        if not k or sum(f.count() for f in found) >= limit or spent > budget:
+        sizes = grown.agg(F.count("*").alias("all"), F.count_if(F.col("at") == target).alias("done")).first()
+        hits += sizes["done"]
+        if sizes["all"] == sizes["done"] or hits >= limit:
             break
         partial = grown.where(F.col("at") != target)
+    if not found:
+        return spark.createDataFrame([], schema), spent > budget
     return reduce(DataFrame.union, found).orderBy("hops", "edges").limit(limit), spent > budget
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -111,29 +112,40 @@ def resolve_selector(entity: DataFrame, selector: str) -> DataFrame:
     return found.unionByName(none, allowMissingColumns=True)
 
 
-def inverted_index(entity: DataFrame) -> DataFrame:
-    """(term, entity_id, tf, size): words of name and scope path."""
-    words = F.filter(F.split(F.lower(F.concat_ws(" ", "name", "scope_path")), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return entity.select("entity_id", words.alias("ws")).select("entity_id", F.size("ws").alias("size"), F.explode("ws").alias("term")).groupBy("term", "entity_id", "size").agg(F.count("*").alias("tf"))
+def phrases(query: str) -> list[tuple[str, ...]]:
+    """Phrases of a query: runs of letters, digits and underscores; an underscore parts words that must follow one another."""
+    runs = "".join(c if c.isalnum() or c == "_" else " " for c in query.lower()).split()
+    return sorted({tuple(w for w in run.split("_") if w) for run in runs} - {()})
+
+
+def occurrences(words: Column, phrase: tuple[str, ...]) -> Column:
+    """How often the words of a phrase follow one another in words; of the last one, a prefix is enough."""
+    k = len(phrase)
+    at = lambda i: reduce(lambda x, y: x & y, [F.get(words, i + j) == w for j, w in enumerate(phrase[:-1])], F.startswith(F.get(words, i + k - 1), F.lit(phrase[-1])))
+    return F.when(F.size(words) >= k, F.size(F.filter(F.sequence(F.lit(0), F.size(words) - k), at))).otherwise(0)
 
 
 def search(entity: DataFrame, query: str, kind: str | None = None, limit: int = 20) -> DataFrame:
-    """Entities in which every token of the query is the prefix of a word; BM25 over the query's tokens, best (least) first."""
-    tokens = sorted({t for t in "".join(c if c.isalnum() else " " for c in query.lower()).split()})
-    index = inverted_index(entity)
-    if not tokens:
+    """Entities in which every phrase of the query occurs, in the name or in the scope path; BM25 over phrases, best (least) first.
+
+    Phrases are matched within each row: one scan for the frequencies, one for the hits,
+    and nothing is shuffled but the best rows of each task.
+    """
+    wanted = phrases(query)
+    if not wanted:
         return entity.limit(0).select("entity_id", "kind", "name").withColumn("score", F.lit(0.0))
-    wanted = F.filter(F.array(*[F.lit(t) for t in tokens]), lambda t: F.startswith(F.col("term"), t))
-    hits = index.select("entity_id", "size", "tf", F.explode(wanted).alias("token")).groupBy("entity_id", "size", "token").agg(F.sum("tf").alias("tf"))
-    df = hits.groupBy("token").agg(F.count("*").alias("df"))
-    scored = hits.join(F.broadcast(df), "token")  # a row a token of the query
-    words = F.filter(F.split(F.lower(F.concat_ws(" ", "name", "scope_path")), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    total = entity.select(F.size(words).alias("size")).where("size > 0").agg(F.count("*").alias("docs"), F.avg("size").alias("avg")).first()
-    idf = F.log((F.lit(float(total["docs"])) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(total["avg"] or 1.0)))
-    out = scored.groupBy("entity_id").agg(F.count("*").alias("matched"), F.round(-F.sum(idf * weight), 6).alias("score")).where(F.col("matched") == len(tokens))
-    rows = entity.select("entity_id", "kind", "name") if kind is None else entity.where(F.col("kind") == kind).select("entity_id", "kind", "name")
-    return out.join(rows, "entity_id").select("entity_id", "kind", "name", "score").orderBy("score", "entity_id").limit(limit)
+    split = lambda c: F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    rows = entity.select("entity_id", "kind", "name", split("name").alias("ns"), split("scope_path").alias("ps")).where("size(ns) + size(ps) > 0")
+    rows = rows.select("entity_id", "kind", "name", (F.size("ns") + F.size("ps")).alias("size"), *[(occurrences(F.col("ns"), p) + occurrences(F.col("ps"), p)).alias(f"tf{i}") for i, p in enumerate(wanted)])
+    total = rows.agg(F.count("*").alias("docs"), F.avg("size").alias("avg"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))]).first()
+    score = F.lit(0.0)
+    for i in range(len(wanted)):
+        idf = math.log((total["docs"] - total[f"df{i}"] + 0.5) / (total[f"df{i}"] + 0.5) + 1)
+        tf = F.col(f"tf{i}")
+        score = score + F.lit(idf) * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("size") / F.lit(total["avg"] or 1.0))))
+    hits = rows.where(reduce(lambda x, y: x & y, [F.col(f"tf{i}") > 0 for i in range(len(wanted))]))
+    hits = hits if kind is None else hits.where(F.col("kind") == kind)
+    return hits.select("entity_id", "kind", "name", F.round(-score, 6).alias("score")).orderBy("score", "entity_id").limit(limit)
 
 
 def suggestions(entity: DataFrame, name: str, limit: int = 5) -> DataFrame:

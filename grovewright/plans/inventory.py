@@ -204,6 +204,14 @@ def k13_link_page(m: Model) -> DataFrame:
     return memory.page(m.raw("lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("link_id"), F.col("l_suppkey").alias("registry_id")), "link_id", 100)
 
 
+@query(sql(""", w AS (SELECT entity_id, kind, name, list_filter(regexp_split_to_array(lower(name), '[^\\pL\\pN]+'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array(lower(scope_path), '[^\\pL\\pN]+'), lambda x: x <> '') AS b FROM entity),
+    t AS (SELECT *, len(list_filter(range(1, len(a)), lambda i: a[i] = 'small' AND starts_with(a[i + 1], 'ri'))) + len(list_filter(range(1, len(b)), lambda i: b[i] = 'small' AND starts_with(b[i + 1], 'ri'))) AS tf FROM w)
+    SELECT entity_id, kind, name FROM t WHERE tf > 0""", "entity"))
+def q2_search_phrase(m: Model) -> DataFrame:
+    """Words joined by an underscore must follow one another; all hits."""
+    return lookup.search(m.entity, "Small_ri", limit=1_000_000).select("entity_id", "kind", "name")
+
+
 # --- impact, gaps, inspection ----------------------------------------------------------
 
 FOUND = sql(""", l1 AS (SELECT DISTINCT ON (source_id) source_id AS entity_id, 1 AS depth, relation, assertion_id FROM assertion WHERE target_id = 'fn_1' ORDER BY source_id, relation, assertion_id), n1 AS (SELECT *, row_number() OVER (ORDER BY relation, entity_id, assertion_id) AS rank FROM l1),
