@@ -145,11 +145,14 @@ def shared(spark: SparkSession) -> None:
         sc.setCheckpointDir(folder)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Texts are long: where the session leaves Arrow batches at their default, hold fewer rows at once."""
+def small_batches(spark: SparkSession, rows: int = 2000, megabytes: int = 8) -> None:
+    """Texts are long: where the session leaves the bounds of Arrow batches at their defaults, hold fewer rows and bytes at once."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) == 10_000:
         spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "") in ("67108864b", "64m"):
+        spark.conf.set(key, str(megabytes << 20))
 
 
 def durable(df: DataFrame) -> DataFrame:
