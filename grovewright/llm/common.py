@@ -151,7 +151,7 @@ def small_batches(spark: SparkSession, rows: int = 2000, megabytes: int = 8) ->
     if int(spark.conf.get(key)) == 10_000:
         spark.conf.set(key, str(rows))
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "") in ("67108864b", "64m"):
+    if spark.conf.get(key, "64m") in ("67108864b", "64m"):
         spark.conf.set(key, str(megabytes << 20))
 
 
