@@ -19,13 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grovewright.llm import decontamination, minhash, nbsvm, packing, substrings
-from grovewright.llm.common import small_batches, stored
+from grovewright.llm.common import relieve, small_batches, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MIN_WORDS = 40
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    relieve(spark)
     small_batches(spark)
     docs = docs.select(*COLUMNS)
     model = nbsvm.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -33,19 +34,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    relieve(spark)
     return minhash.deduplicate(docs.select(*COLUMNS))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    relieve(spark)
     cut = substrings.remove(docs.select(*COLUMNS), MIN_WORDS)
     return cut.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    relieve(spark)
     return decontamination.drop_contaminated(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    relieve(spark)
     return packing.pack_digests(docs, packing.tokenizer_path())
 
 

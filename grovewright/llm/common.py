@@ -240,6 +240,15 @@ def reclaim(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def relieve(spark: SparkSession) -> None:
+    """Let the executors collect all garbage now: their heaps shrink to what is alive, so what earlier steps filled isn't held beside this step's Python workers.
+
+    A task a core, each on its own row; those that land on an executor twice only collect twice.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Like durable(), as compressed columns: for tables of many rows."""
     spark = df.sparkSession

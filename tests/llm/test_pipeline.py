@@ -74,3 +74,14 @@ def test_empty_and_null(spark, tmp_path):
         for _, stage in cp.STAGES:
             docs = stage(spark, docs, sf)
             docs.count()
+
+
+@pytest.mark.parametrize("stage", ["quality", "packing"])
+def test_heaps_shrink(spark, tmp_path, stage):
+    """A stage first has the executors' garbage collected, so that what earlier stages filled isn't held beside its Python workers."""
+    sf = planted(tmp_path)
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    full = lambda: {b.getName(): b.getCollectionCount() for b in beans()}["G1 Old Generation"]
+    before = full()
+    dict(cp.STAGES)[stage](spark, spark.read.parquet(f"{sf}/documents.parquet"), sf)
+    assert full() > before
