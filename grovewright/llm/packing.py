@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import array
 import bisect
+import codecs
 import json
 import re
 import sys
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import crc, durable, raw, tidied
 
-CACHE = 200_000
+CACHE = 200_000  # words in each of two generations
 SALT_ROWS = 2_000
 
 
@@ -53,9 +54,11 @@ def byte_letters() -> dict[int, int]:
 
 
 class Words(dict):
-    """word (bytes, without white space) -> its ids as little-endian uint32; emptied when full.
+    """word (bytes, without white space) -> its ids as little-endian uint32.
 
-    Most words are split and given to the merges directly, which takes a third of the time
+    The parts of words are entries as well. Of two generations of CACHE entries each the older
+    one is dropped when the younger is full, and what is met again moves to the younger, so
+    frequent words stay. Most words are split and given to the merges directly, which takes a third of the time
     of the whole tokenizer; all others, and all words under another kind of file, go
     through the tokenizer.
     """
@@ -63,7 +66,7 @@ class Words(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer, models
 
-        self.tokenizer, self.parts, self.merges = Tokenizer.from_file(path), {}, None
+        self.tokenizer, self.old, self.merges = Tokenizer.from_file(path), {}, None
         with open(path, encoding="utf-8") as f:
             j = json.load(f)
         m, steps = j["model"], (j.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
@@ -73,26 +76,39 @@ class Words(dict):
         ):
             merges = [tuple(x.split(" ")) if isinstance(x, str) else tuple(x) for x in m["merges"]]
             self.merges = models.BPE(vocab=m["vocab"], merges=merges, end_of_word_suffix=m.get("end_of_word_suffix") or "", cache_capacity=0)
-            self.letters = byte_letters()
+            letters = byte_letters()
+            self.letters = "".join(chr(letters.get(b, b)) for b in range(256))
+
+    def keep(self, word: bytes, ids: bytes) -> bytes:
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
 
     def part(self, text: str) -> bytes:
-        got = self.parts.get(text)
+        word = text.encode()
+        got = self.get(word)
         if got is None:
-            if len(self.parts) >= CACHE:
-                self.parts.clear()
-            got = self.parts[text] = array.array("I", [t.id for t in self.merges.tokenize(text.encode().decode("latin-1").translate(self.letters))]).tobytes()
+            got = self.old.get(word)
+            if got is None:
+                letters = text if text.isascii() else codecs.charmap_decode(word, "strict", self.letters)[0]
+                got = array.array("I", [t.id for t in self.merges.tokenize(letters)]).tobytes()
+            self.keep(word, got)
         return got
 
     def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        text = word.decode()
-        if self.merges is not None and "<|" not in text and PLAIN.fullmatch(text):
-            ids = b"".join(map(self.part, PARTS.findall(text.lower())))
-        else:
-            ids = array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        self[word] = ids
-        return ids
+        ids = self.old.get(word)
+        if ids is None:
+            text = word.decode()
+            if self.merges is not None and "<|" not in text and PLAIN.fullmatch(text):
+                parts = PARTS.findall(text.lower())
+                if parts == [text]:
+                    return self.part(text)
+                ids = b"".join(map(self.part, parts))
+            else:
+                ids = array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return self.keep(word, ids)
 
 
 def encoder(path: str) -> Callable[[list[bytes]], list[bytes]]:

@@ -170,3 +170,25 @@ def test_sharding(spark, odd, odd_docs, documents, empty_docs):
     check_shards(rows, pd.DataFrame(hot, columns=["doc_id", "text"]), 1.02)
     load = Counter(r.shard for r in rows)
     assert max(load.values()) < 1.5 * min(load.values())
+
+
+def test_frequent_words_stay(monkeypatch):
+    """Rare words push out rare words, not those that come again and again; the cache holds two generations at most."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "CACHE", 16)
+    words, seen = packing.Words(packing.tokenizer_path()), []
+    whole, merges = Tokenizer.from_file(packing.tokenizer_path()), words.merges
+
+    class Counted:
+        def tokenize(self, text):
+            seen.append(text)
+            return merges.tokenize(text)
+
+    words.merges = Counted()
+    for i in range(300):
+        rare = "".join(chr(97 + int(d)) for d in f"{i:04d}")
+        for w in ("often", "often.", f"{rare},", f"été{rare}", "Σ", "don't", "Ünd", "a<|b"):
+            assert np.frombuffer(words[w.encode()], np.uint32).tolist() == whole.encode(w, add_special_tokens=False).ids
+    assert seen.count("often") == 1 and len(seen) < 700
+    assert len(words) <= 16 and len(words.old) <= 16
