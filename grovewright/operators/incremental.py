@@ -77,13 +77,16 @@ def move_proposals(removed: DataFrame, added: DataFrame) -> DataFrame:
 
 
 def resolve_imports(imports: DataFrame, paths: DataFrame) -> DataFrame:
-    """imports (importer, specifier) with the first candidate path that is indexed; else null and a reason."""
+    """imports (importer, specifier) with the first candidate path that is indexed; else null and a reason.
+
+    Neither side has a bound, so both joins are by merge: nothing is gathered on the driver for a broadcast.
+    """
     base = F.regexp_replace("importer", "/?[^/]*$", "")
     joined = F.when(base == "", F.col("specifier")).otherwise(F.concat_ws("/", base, F.col("specifier")))
     rows = imports.distinct().withColumn("relative", F.col("specifier").rlike(r"^\.{1,2}(/|$)")).withColumn("folded", F.when(F.col("relative"), S.normal_path(joined)))
     tried = rows.where("folded IS NOT NULL").select("importer", "specifier", F.posexplode(F.array(*[F.concat("folded", F.lit(s)) for s in SUFFIXES])).alias("at", "path"))
-    found = tried.join(paths.select("path").distinct(), "path").groupBy("importer", "specifier").agg(F.min_by("path", "at").alias("target"))
-    out = rows.join(found, ["importer", "specifier"], "left")
+    found = tried.join(paths.select("path").distinct().hint("merge"), "path").groupBy("importer", "specifier").agg(F.min_by("path", "at").alias("target"))
+    out = rows.join(found.hint("merge"), ["importer", "specifier"], "left")
     reason = F.when(F.col("target").isNotNull(), F.lit(None)).when(~F.col("relative"), "not_relative").when(F.col("folded").isNull(), "climbs_above_root").otherwise("not_indexed")
     return out.select("importer", "specifier", "target", reason.alias("reason"))
 
