@@ -107,11 +107,11 @@ def degree(meta: Column) -> Column:
 
 
 def civil_date(seconds: Column) -> Column:
-    """Epoch seconds as a date and time in UTC, to the second."""
+    """Epoch seconds as a date and time in UTC, to the second; years of more than four digits have no sign."""
     day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int"))
     rest = F.pmod(seconds, F.lit(86400))
     two = lambda c: F.lpad(F.floor(c).cast("string"), 2, "0")
-    return F.concat(day.cast("string"), F.lit("T"), two(rest / 3600), F.lit(":"), two(rest % 3600 / 60), F.lit(":"), two(rest % 60), F.lit("Z"))
+    return F.concat(F.ltrim(day.cast("string"), F.lit("+")), F.lit("T"), two(rest / 3600), F.lit(":"), two(rest % 3600 / 60), F.lit(":"), two(rest % 60), F.lit("Z"))
 
 
 def selector_shape(selector: str) -> dict:

@@ -1,5 +1,8 @@
 """What must hold at any size: no unbounded broadcast, no cap, the same rows as SQL beyond the ranges of small tables."""
 
+from pyspark.sql import functions as F
+
+from grovewright.functions import scalars as S
 from grovewright.operators import incremental
 
 
@@ -10,3 +13,9 @@ def plan(df):
 def test_imports_are_joined_without_broadcast(spark):
     imports = spark.createDataFrame([("a/b.ts", "./c")], "importer string, specifier string")
     assert "Broadcast" not in plan(incremental.resolve_imports(imports, spark.createDataFrame([("a/c.ts",)], "path string")))
+
+
+def test_civil_date_beyond_four_digits(spark):
+    """As DuckDB's strftime has it, without a sign."""
+    df = spark.createDataFrame([(253402300799,), (253402300800,), (1555181740803,), (-1,)], "s long")
+    assert [r[0] for r in df.select(S.civil_date(F.col("s"))).collect()] == ["9999-12-31T23:59:59Z", "10000-01-01T00:00:00Z", "51251-09-30T16:00:03Z", "1969-12-31T23:59:59Z"]
