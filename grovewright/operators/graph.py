@@ -6,6 +6,7 @@ on the order of discovery, rows carry their rank in it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.vocab import IMPACT_RELATIONS, parse_all
-from ..plans.helpers import checkpointed, closure, first_by
+from ..plans.helpers import among, checkpointed, closure, first_by, met, without
 
 
 def edges_of(assertion: DataFrame, state: DataFrame | None = None, relations: list[str] | None = None, resolved_only: bool = False) -> DataFrame:
@@ -34,7 +35,7 @@ def impact(assertion: DataFrame, subject: DataFrame, depth: int = 6, relations:
     start = seen.select("entity_id", F.row_number().over(Window.orderBy("entity_id")).cast("long").alias("rank"))  # the subjects of one question
     frontier, parts = start, []
     for level in range(1, depth + 1):
-        step = frontier.withColumnRenamed("entity_id", "via_id").join(edges, "via_id").join(seen, "entity_id", "left_anti")
+        step = without(met(edges, frontier.withColumnRenamed("entity_id", "via_id"), "via_id"), seen, "entity_id")
         # the edge found first, as a least struct, so that a hub's edges are combined before they are shuffled
         first = step.groupBy("entity_id").agg(F.min(F.struct("rank", "relation", "assertion_id", "via_id")).alias("e"))
         reached = checkpointed(first.select("entity_id", F.lit(level).alias("depth"), "e.relation", "e.via_id", "e.assertion_id", "e.rank"))
@@ -58,27 +59,33 @@ def dense_ranks(rows: DataFrame, order: list[str]) -> DataFrame:
     return local.join(F.broadcast(base), "__part").select("entity_id", (F.col("base") + F.col("__at")).alias("rank"))
 
 
-def impact_report(assertion: DataFrame, state: DataFrame, entity: DataFrame, evidence: DataFrame, freshness: DataFrame, subject: DataFrame, depth: int = 6, relations: list[str] | None = None, limit: int = 50) -> dict[str, DataFrame]:
+def impact_report(assertion: DataFrame, state: DataFrame | Callable[[DataFrame | None], DataFrame], entity: DataFrame, evidence: DataFrame, freshness: DataFrame, subject: DataFrame, depth: int = 6, relations: list[str] | None = None, limit: int = 50) -> dict[str, DataFrame]:
     """An impact answer: rows in their order up to limit, totals over all of it, and the account of what it can't see.
 
     evidence: one representative observation a claim (assertion_id, file_path, start_line);
     freshness: (file_path, freshness). The account covers the same relations and is there
     whether or not anything was found. Rows are by depth, kind, qualified name and id.
+    state may be a function from claims (assertion_id) to their state, so that the state of
+    other claims need not be derived for the rows.
     """
     from .lookup import unresolved_account
 
     found = checkpointed(impact(assertion, subject, depth, relations))
-    named = entity.select("entity_id", "kind", S.qualified_name(F.col("kind"), F.col("scope_path"), F.col("name")).alias("qualified"))
-    rows = found.join(named, "entity_id").join(state, "assertion_id", "left").join(evidence.select("assertion_id", "file_path", "start_line"), "assertion_id", "left").join(freshness, "file_path", "left")
-    stale = rows.agg(F.count_if(F.col("file_path").isNotNull() & (F.coalesce("freshness", F.lit("file-missing")) != "fresh")).alias("n")).select(F.lit("stale").alias("metric"), F.lit("").alias("name"), "n")
+    claims = checkpointed(found.select("assertion_id").distinct())
+    state_of = state if callable(state) else lambda ids: state if ids is None else among(state, ids, "assertion_id")
+    seen = among(evidence.select("assertion_id", "file_path", "start_line"), claims, "assertion_id")
+    named = met(entity.select("entity_id", "kind", S.qualified_name(F.col("kind"), F.col("scope_path"), F.col("name")).alias("qualified")), found, "entity_id")
+    placed = named.join(seen, "assertion_id", "left").join(freshness, "file_path", "left")
+    stale = placed.agg(F.count_if(F.col("file_path").isNotNull() & (F.coalesce("freshness", F.lit("file-missing")) != "fresh")).alias("n")).select(F.lit("stale").alias("metric"), F.lit("").alias("name"), "n")
+    rows = placed.join(state_of(claims), "assertion_id", "left")
     return {
-        "rows": rows.orderBy("depth", "kind", "qualified", "entity_id").limit(limit), "totals": impact_totals(found, entity).union(stale), "unresolved": unresolved_account(state, assertion, relations or IMPACT_RELATIONS),
+        "rows": rows.orderBy("depth", "kind", "qualified", "entity_id").limit(limit), "totals": impact_totals(found, entity).union(stale), "unresolved": unresolved_account(state_of(None), assertion, relations or IMPACT_RELATIONS),
     }
 
 
 def impact_totals(found: DataFrame, entity: DataFrame) -> DataFrame:
     """(metric, name, n) over the whole closure: totals by depth, relation and kind."""
-    kinds = found.join(entity.select("entity_id", "kind"), "entity_id")
+    kinds = checkpointed(met(entity.select("entity_id", "kind"), checkpointed(found), "entity_id"))
     parts = [kinds.groupBy(F.col(c).cast("string").alias("name")).agg(F.count("*").alias("n")).select(F.lit(f"by_{c}").alias("metric"), "name", "n") for c in ("depth", "relation", "kind")]
     parts.append(kinds.agg(F.count("*").alias("n")).select(F.lit("entities"), F.lit(""), "n"))
     return reduce(DataFrame.union, parts)
@@ -86,65 +93,74 @@ def impact_totals(found: DataFrame, entity: DataFrame) -> DataFrame:
 
 def neighbourhood(assertion: DataFrame, entity: DataFrame, focus: str, depth: int = 1, max_nodes: int = 60) -> dict[str, DataFrame]:
     """Nodes admitted in order of discovery up to max_nodes, the edges among them, and how many were left out."""
-    both = assertion.select(
-        F.explode(F.array(F.struct(F.col("source_id").alias("anchor"), F.col("target_id").alias("entity_id")), F.struct(F.col("target_id").alias("anchor"), F.col("source_id").alias("entity_id")))).alias("e"), "relation", "source_id", "target_id", "assertion_id"
-    ).select("e.*", "relation", "source_id", "target_id", "assertion_id")
+    way = lambda a, b: assertion.select(F.col(a).alias("anchor"), F.col(b).alias("entity_id"), "relation", "source_id", "target_id", "assertion_id")
+    both = way("source_id", "target_id").union(way("target_id", "source_id"))
     spark = entity.sparkSession
     admitted = checkpointed(spark.createDataFrame([(focus, 0, 1)], "entity_id string, depth int, rank int"))
     frontier, omitted, n = admitted, [], 1
     for level in range(1, depth + 1):
-        step = frontier.select(F.col("entity_id").alias("anchor"), "rank").join(both, "anchor").join(admitted.select("entity_id"), "entity_id", "left_anti")
+        step = without(met(both, frontier.select(F.col("entity_id").alias("anchor"), "rank"), "anchor"), admitted, "entity_id")
         first = first_by(step, ["entity_id"], [F.asc("rank"), F.asc("relation"), F.asc("source_id"), F.asc("target_id"), F.asc("assertion_id")])
         found = checkpointed(first.select("entity_id", "rank", "relation", "source_id", "target_id", "assertion_id"))
         room = max_nodes - n
         taken = checkpointed(found.orderBy("rank", "relation", "source_id", "target_id", "assertion_id").limit(max(0, room)).withColumn("place", F.row_number().over(Window.orderBy("rank", "relation", "source_id", "target_id", "assertion_id"))))  # max_nodes rows
-        omitted.append(found.join(taken.select("entity_id"), "entity_id", "left_anti").select("entity_id"))
+        omitted.append(without(found, taken, "entity_id").select("entity_id"))
         frontier = checkpointed(taken.select("entity_id", F.lit(level).alias("depth"), (F.col("place") + n).alias("rank")))
         k = frontier.count()
         if not k:
             break
         n += k
         admitted = checkpointed(admitted.union(frontier))
-    a = F.broadcast(admitted.select("entity_id"))  # max_nodes rows
-    inside = assertion.join(a.withColumnRenamed("entity_id", "source_id"), "source_id", "left_semi").join(a.withColumnRenamed("entity_id", "target_id"), "target_id", "left_semi")
-    left = reduce(DataFrame.union, omitted).distinct().join(admitted.select("entity_id"), "entity_id", "left_anti") if omitted else admitted.select("entity_id").limit(0)
-    return {"nodes": admitted.join(entity, "entity_id").select("depth", "kind", "name", "entity_id").orderBy("depth", "kind", "name", "entity_id"), "edges": inside.orderBy("relation", "source_id", "target_id", "assertion_id"), "omitted": left}
+    inside = among(among(assertion, admitted.withColumnRenamed("entity_id", "source_id"), "source_id"), admitted.withColumnRenamed("entity_id", "target_id"), "target_id")
+    left = without(reduce(DataFrame.union, omitted).distinct(), admitted, "entity_id") if omitted else admitted.select("entity_id").limit(0)
+    return {"nodes": met(entity, admitted, "entity_id").select("depth", "kind", "name", "entity_id").orderBy("depth", "kind", "name", "entity_id"), "edges": inside.orderBy("relation", "source_id", "target_id", "assertion_id"), "omitted": left}
 
 
-def find_paths(assertion: DataFrame, source: str, target: str, depth: int = 6, limit: int = 3, directed: bool = True, budget: int = 100_000) -> tuple[DataFrame, bool]:
-    """(hops, nodes, edges): simple paths, shortest first, then by their edges; and whether the budget cut the search.
+def find_paths(assertion: DataFrame, source: str, target: str, depth: int = 6, limit: int = 3, directed: bool = True) -> tuple[DataFrame, bool]:
+    """(hops, nodes, edges): simple paths, shortest first, then by their edges; and whether the search was cut, which it never is.
 
-    Partial paths are extended a level at a time, as long as the extensions tried stay
-    within the budget; a node is never met twice. From a node to
-    itself there is one empty path.
+    From the target backwards, a level at a time, each node keeps its first simple paths to
+    the target by their edges, `width` at most. A row without nodes marks where such a list
+    was cut: of what comes at or after its edges nothing is known. Only what precedes every
+    mark is an answer; if that is too little, the search is done again with a greater width,
+    so nothing is lost to it. From a node to itself there is one empty path.
     """
     spark = assertion.sparkSession
     schema = "hops int, nodes array<string>, edges array<string>"
     if source == target:
         return spark.createDataFrame([(0, [source], [])], schema), False
-    e = assertion.select(F.col("source_id").alias("at"), F.col("target_id").alias("next"), F.concat_ws("|", "relation", "target_id", "assertion_id").alias("edge"))
+    e = assertion.select(F.col("source_id").alias("from"), F.col("target_id").alias("at"), F.concat_ws("|", "relation", "target_id", "assertion_id").alias("edge"))
     if not directed:
         e = e.union(assertion.select("target_id", "source_id", F.concat_ws("|", "relation", "source_id", "assertion_id", F.lit("back"))))
-    degree = e.groupBy("at").agg(F.count("*").alias("n"))
-    partial = spark.createDataFrame([(source, [source], [])], "at string, nodes array<string>, edges array<string>")
-    found, spent, hits = [], 0, 0
+    width = 4 * max(limit, 1)
+    while (found := paths_within(e.where(F.col("from") != target), source, target, depth, limit, width)) is None:
+        width *= 8
+    return (reduce(DataFrame.union, found).orderBy("hops", "edges").limit(limit) if found else spark.createDataFrame([], schema)), False
+
+
+def paths_within(e: DataFrame, source: str, target: str, depth: int, limit: int, width: int) -> list[DataFrame] | None:
+    """The paths of find_paths() by their length, from lists of `width` paths a node; none if that is too narrow."""
+    tails = checkpointed(e.sparkSession.createDataFrame([(target, [target], [])], "at string, nodes array<string>, edges array<string>"))
+    order = Window.partitionBy("at").orderBy("edges")
+    found, hits = [], 0
     for hops in range(1, depth + 1):
-        # what a level costs is known from the degrees before any path is extended
-        spent += partial.groupBy("at").agg(F.count("*").alias("m")).join(degree, "at").agg(F.sum(F.col("m") * F.col("n")).alias("n")).first()["n"] or 0
-        if spent > budget:
-            break
-        step = partial.join(e, "at").where(~F.array_contains("nodes", F.col("next")))
-        grown = checkpointed(step.select(F.col("next").alias("at"), F.concat("nodes", F.array("next")).alias("nodes"), F.concat("edges", F.array("edge")).alias("edges")).distinct())
-        done = grown.where(F.col("at") == target)
-        found.append(done.select(F.lit(hops).alias("hops"), "nodes", "edges"))
-        sizes = grown.agg(F.count("*").alias("all"), F.count_if(F.col("at") == target).alias("done")).first()
+        # the source is no inner node, so its own list is taken out below
+        step = met(e, tails, "at").where(F.col("nodes").isNull() | ~F.array_contains("nodes", F.col("from")))
+        grown = step.select(F.col("from").alias("at"), F.concat(F.array("from"), "nodes").alias("nodes"), F.concat(F.array("edge"), "edges").alias("edges")).distinct()
+        first = grown.withColumn("n", F.row_number().over(order)).where(F.col("n") <= width + 1)
+        first = first.withColumn("nodes", F.when(F.col("n") <= width, F.col("nodes")))
+        known = F.count_if(F.col("nodes").isNull()).over(order.rowsBetween(Window.unboundedPreceding, -1)) == 0
+        tails = checkpointed(first.withColumn("known", known).where("known").select("at", "nodes", "edges"))
+        done = tails.where(F.col("at") == source)
+        sizes = tails.agg(F.count("*").alias("all"), F.count_if((F.col("at") == source) & F.col("nodes").isNotNull()).alias("done"), F.count_if((F.col("at") == source) & F.col("nodes").isNull()).alias("cut")).first()
         hits += sizes["done"]
-        if sizes["all"] == sizes["done"] or hits >= limit:
+        found.append(done.where("nodes IS NOT NULL").select(F.lit(hops).alias("hops"), "nodes", "edges"))
+        if hits >= limit or not sizes["all"]:
             break
-        partial = grown.where(F.col("at") != target)
-    if not found:
-        return spark.createDataFrame([], schema), spent > budget
-    return reduce(DataFrame.union, found).orderBy("hops", "edges").limit(limit), spent > budget
+        if sizes["cut"]:
+            return None
+        tails = tails.where(F.col("at") != source)
+    return found
 
 
 def explain(assertion: DataFrame, observation: DataFrame, subject: str, other: str | None = None) -> DataFrame:

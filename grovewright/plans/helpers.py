@@ -1,4 +1,4 @@
-"""first_by, cascade and closure: the three shapes that most questions lean on."""
+"""first_by, cascade, having, lacking, met and closure: the shapes that most questions lean on."""
 
 from __future__ import annotations
 
@@ -9,6 +9,11 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# Keys up to these numbers are broadcast, or listed in a filter. Bounds that don't follow the data.
+FEW, LISTED = 100_000, 1_000
+# Bytes of input files for one shuffle partition; the setting for their number, and our mark that we set it.
+TASK_BYTES, INITIAL, MARK = 4 << 20, "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "grovewright.initialPartitionNum"
+
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row for each key: the first in a total order (which must end in a unique column)."""
@@ -46,6 +51,67 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sized(spark: SparkSession, folder: str) -> None:
+    """Deal shuffles by the size of the input, so that what one task holds doesn't grow with it.
+
+    One shuffle partition for TASK_BYTES of the folder's files, if that is more than the
+    session has (adaptive execution merges small ones again), and smaller targets for
+    partitions of shuffles and scans where the session left the defaults.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    n = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getContentSummary(path).getLength() // TASK_BYTES
+    if n > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set(INITIAL, str(n))
+    elif spark.conf.get(INITIAL, None) is not None and spark.conf.get(MARK, "") == spark.conf.get(INITIAL, None):
+        spark.conf.unset(INITIAL)
+    spark.conf.set(MARK, str(n))
+    for key, default, most in (("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64MB", "16MB"), ("spark.sql.files.maxPartitionBytes", "128MB", "32MB")):
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, most)
+
+
+def having(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of df whose key is among keys.
+
+    An inner join with distinct keys: a semi-join would be pushed below the unions that df
+    is made of, and the keys would be computed, sorted and merged once a branch.
+    """
+    return df.join(keys.select(*on).distinct(), on).select(*df.columns)
+
+
+def lacking(df: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of df whose key is not among keys; as having(), no anti-join, for the same reason."""
+    marks = keys.select(*on).distinct().withColumn("__hit", F.lit(True))
+    return df.join(marks, on, "left").where("__hit IS NULL").select(*df.columns)
+
+
+def few(keys: DataFrame) -> bool:
+    """Whether keys, which should be checkpointed, have no more than FEW rows."""
+    return keys.limit(FEW + 1).count() <= FEW
+
+
+def among(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """having() with checkpointed keys.
+
+    Up to LISTED keys become a filter, which is pushed below unions and distinct rows down
+    to the scans, so that only rows with such a key are shuffled at all; few are broadcast.
+    """
+    listed = keys.select(on).limit(LISTED + 1).collect()
+    if len(listed) <= LISTED:
+        return df.where(F.col(on).isin(list({r[0] for r in listed} - {None})))
+    return df.join(F.broadcast(keys.select(on).distinct()), on, "left_semi").select(*df.columns) if few(keys) else having(df, keys, [on])
+
+
+def met(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """df.join(keys, on) with checkpointed keys, by among() where they are few."""
+    return among(df, keys, on).join(F.broadcast(keys), on) if few(keys) else df.join(keys, on)
+
+
+def without(df: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """lacking() with checkpointed keys, by a broadcast where they are few."""
+    return lacking(df, F.broadcast(keys.select(on).distinct()) if few(keys) else keys, [on])
+
+
 def closure(edges: DataFrame, start: DataFrame, depth: int | None = None) -> tuple[DataFrame, bool]:
     """Nodes reached from start (node) along edges (src, dst), with the least number of steps, start at 0.
 
@@ -57,8 +123,8 @@ def closure(edges: DataFrame, start: DataFrame, depth: int | None = None) -> tup
     frontier, level = reached, 0
     while depth is None or level < depth:
         level += 1
-        step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
-        frontier = checkpointed(step.join(reached, "node", "left_anti").withColumn("depth", F.lit(level)))
+        step = met(edges.select("src", "dst"), frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
+        frontier = checkpointed(lacking(step, reached, ["node"]).withColumn("depth", F.lit(level)))
         if frontier.isEmpty():
             return reached, True
         reached = checkpointed(reached.union(frontier))

@@ -1,9 +1,12 @@
 """What must hold at any size: no unbounded broadcast, no cap, the same rows as SQL beyond the ranges of small tables."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from grovewright.functions import scalars as S
-from grovewright.operators import incremental
+from grovewright.operators import graph, incremental
 
 
 def plan(df):
@@ -19,3 +22,50 @@ def test_civil_date_beyond_four_digits(spark):
     """As DuckDB's strftime has it, without a sign."""
     df = spark.createDataFrame([(253402300799,), (253402300800,), (1555181740803,), (-1,)], "s long")
     assert [r[0] for r in df.select(S.civil_date(F.col("s"))).collect()] == ["9999-12-31T23:59:59Z", "10000-01-01T00:00:00Z", "51251-09-30T16:00:03Z", "1969-12-31T23:59:59Z"]
+
+
+def brute(claim, source, target, depth):
+    def walk(path, edges):
+        if path[-1] == target:
+            yield len(edges), edges, path
+        elif len(edges) < depth:
+            for a, s, r, t in claim:
+                if s == path[-1] and t not in path:
+                    yield from walk([*path, t], [*edges, f"{r}|{t}|{a}"])
+
+    return sorted(walk([source], []))
+
+
+def claims_of(spark, pairs):
+    claim = [(f"{s}|CALLS|{t}", s, "CALLS", t) for s, t in pairs]
+    return claim, spark.createDataFrame(claim, "assertion_id string, source_id string, relation string, target_id string")
+
+
+def test_paths_past_a_hub(spark):
+    """More extensions than any budget: the path at the end of the last branch is found."""
+    df = spark.range(400).selectExpr("concat('h', id) AS s").crossJoin(spark.range(400).selectExpr("concat('m', id) AS t")).union(spark.range(400).selectExpr("'a'", "concat('h', id)")).union(spark.createDataFrame([("m399", "z")], "s string, t string"))
+    got, cut = graph.find_paths(df.selectExpr("concat_ws('|', s, 'CALLS', t) AS assertion_id", "s AS source_id", "'CALLS' AS relation", "t AS target_id"), "a", "z", 6, 2)
+    assert not cut and [r.nodes for r in got.collect()] == [["a", "h0", "m399", "z"], ["a", "h100", "m399", "z"]]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_paths_where_first_ones_are_not_simple(spark, seed):
+    """Dense graphs with cycles: lists of a node are full of paths that lead back, so the width has to grow."""
+    rng = random.Random(seed)
+    claim, df = claims_of(spark, sorted({(f"n{rng.randrange(7)}", f"n{rng.randrange(7)}") for _ in range(30)} | {("n0", "n1")}))
+    want = brute(claim, "n0", "n6", 5)
+    for limit in (1, 4, 1000):
+        assert [(r.hops, r.edges, r.nodes) for r in graph.find_paths(df, "n0", "n6", 5, limit)[0].collect()] == want[:limit]
+    ways = [graph.paths_within(df.selectExpr("source_id AS `from`", "target_id AS at", "concat_ws('|', relation, target_id, assertion_id) AS edge").where("`from` != 'n6'"), "n0", "n6", 5, len(want), width) for width in (1, 10_000)]
+    assert ways[0] is None and sum(d.count() for d in ways[1]) == len(want) > 4
+
+
+def test_partitions_follow_the_input(spark, sf, tmp_path):
+    """More input, more shuffle partitions; the session's own number where that is enough."""
+    from grovewright.plans import helpers
+
+    (tmp_path / "t.parquet").write_bytes(bytes(40 * helpers.TASK_BYTES))
+    helpers.sized(spark, str(tmp_path))
+    assert spark.conf.get(helpers.INITIAL) == "40"
+    helpers.sized(spark, sf)
+    assert spark.conf.get(helpers.INITIAL, None) is None
