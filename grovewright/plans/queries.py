@@ -352,7 +352,7 @@ def q25_exact_renames(m: Model) -> DataFrame:
 def q26_similar_renames(m: Model) -> DataFrame:
     """Documents that come back with another first line."""
     change = m.rewrite.select("commit_oid", "path", "change_kind", F.when(F.col("change_kind") == "added", F.col("blob_oid")).alias("blob_oid"), F.when(F.col("change_kind") == "deleted", F.col("blob_oid")).alias("prev_blob_oid"))
-    return history.similar_renames(change, m.rewrite.select("blob_oid", F.col("text").alias("content")).dropDuplicates(["blob_oid"]))[0]
+    return history.similar_renames(change, m.rewrite.select("blob_oid", F.col("text").alias("content")))[0]
 
 
 @query(sql(""", t AS (SELECT commit_oid, count(*) FILTER (change_kind = 'deleted') AS deletions, count(*) FILTER (change_kind = 'added') AS additions FROM content GROUP BY commit_oid)

@@ -82,3 +82,16 @@ def test_state_diff_reads_its_edges_once(spark, monkeypatch):
     kind, commits, changes = history.state_diff(commit, spark.createDataFrame([(f"c{i:02}", "p") for i in range(n)], "commit_oid string, path string"), "c08", "c11")
     assert kind == "diff" and [r.commit_oid for r in commits.collect()] == ["c11", "c10", "c09"] and changes.count() == 3
     assert seen and not any("Generate" in p for p in seen)
+
+
+def test_similar_renames_shuffle_no_texts(spark):
+    """What is shuffled is made of digests: contents go no further than the task that reads them."""
+    from grovewright.operators import history
+
+    base = [f"line {i}" for i in range(16)]
+    texts = {"b0": base, "b1": [*base[:15], "other", "line 0"], "b2": ["x"] * 16, "b3": ["line 0"] * 16}
+    change = [("c", "d0", "deleted", None, "b0"), ("c", "a1", "added", "b1", None), ("c", "a2", "added", "b2", None), ("c", "a3", "added", "b3", None)]
+    df = spark.createDataFrame(change, "commit_oid string, path string, change_kind string, blob_oid string, prev_blob_oid string")
+    pairs = history.similar_renames(df, spark.createDataFrame([(k, "\n".join(v)) for k, v in texts.items()], "blob_oid string, content string"))[0]
+    assert [tuple(r) for r in pairs.collect()] == [("c", "d0", "a1", 15, 17, "unique")]
+    assert not [x for x in plan(pairs).splitlines() if "Exchange" in x and "content" in x] and plan(pairs).count("SortMergeJoin") + plan(pairs).count("HashJoin") <= 2
