@@ -101,5 +101,5 @@ def availability(registry: DataFrame) -> DataFrame:
 
 def contract_ambiguity(link: DataFrame) -> DataFrame:
     """Links with whether their identity (source, specifier) leads to several targets or is stated several times."""
-    by = link.groupBy("source_path", "specifier").agg(F.count("*").alias("n"), F.count_distinct("target_path").alias("targets"))
-    return link.join(by, ["source_path", "specifier"]).withColumn("ambiguity", F.when(F.col("targets") > 1, "many_targets").when(F.col("n") > 1, "repeated").otherwise("unique")).drop("n", "targets")
+    by = link.groupBy("source_path", "specifier").agg(F.count("*").alias("n"), (F.min("target_path") != F.max("target_path")).alias("several"))
+    return link.join(by, ["source_path", "specifier"]).withColumn("ambiguity", F.when(F.col("several"), "many_targets").when(F.col("n") > 1, "repeated").otherwise("unique")).drop("n", "several")

@@ -7,12 +7,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .helpers import sized
+
 
 class Model:
     """Lazy model tables over one data folder."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        sized(spark, sf_dir)
 
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -63,20 +66,20 @@ class Model:
     @property
     def observation(self) -> DataFrame:
         """Evidence of REFERENCES, each row once by the evidence key."""
-        order = self.items.select(
+        order = self.items.select("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey").distinct().select(
             F.concat(F.lit("class_"), F.col("l_orderkey").cast("string"), F.lit("|REFERENCES|fn_"), F.col("l_partkey").cast("string")).alias("assertion_id"), F.lit("lines").alias("extractor_id"), F.lit("1").alias("extractor_version"),
             (F.col("l_linenumber") - 1).cast("int").alias("source_type"), F.concat(F.lit("supp/"), F.col("l_suppkey").cast("string")).alias("file_path"), F.col("l_linenumber").cast("long").alias("start_line"), F.col("l_linenumber").cast("long").alias("end_line"),
         )
         link = self.links.select(
             F.concat(F.lit("doc_"), F.col("page_id").cast("string"), F.lit("|REFERENCES|unres_"), F.col("page_id").cast("string"), F.lit("_"), "href"), F.lit("links"), F.lit("1"), F.lit(8), F.col("url"), F.lit(0).cast("long"), F.lit(0).cast("long")
         )
-        return order.union(link).distinct()
+        return order.union(link)  # links are distinct, and of another extractor
 
     @property
     def occurrence(self) -> DataFrame:
         """Classes and functions occur in the files of the suppliers of their items."""
         where = F.concat(F.lit("supp/"), F.col("l_suppkey").cast("string"))
-        each = [self.items.groupBy(F.concat(F.lit(a), F.col(c).cast("string")).alias("entity_id"), where.alias("file_path")).agg(F.min("l_linenumber").cast("long").alias("start_line")) for a, c in (("class_", "l_orderkey"), ("fn_", "l_partkey"))]
+        each = [self.items.groupBy(c, "l_suppkey").agg(F.min("l_linenumber").cast("long").alias("start_line")).select(F.concat(F.lit(a), F.col(c).cast("string")).alias("entity_id"), where.alias("file_path"), "start_line") for a, c in (("class_", "l_orderkey"), ("fn_", "l_partkey"))]
         rows = each[0].union(each[1])
         return rows.select(F.concat_ws("@", "entity_id", "file_path").alias("occurrence_id"), "entity_id", "file_path", "start_line", (F.col("start_line") * 10).alias("start_byte"), (F.col("start_line") * 10 + 9).alias("end_byte"))
 
