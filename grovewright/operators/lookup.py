@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.vocab import CONTAINER_KINDS, CONTENT_KINDS, SYMBOL_KINDS
-from ..plans.helpers import first_by
+from ..plans.helpers import among, checkpointed, first_by
 
 K1, B = 1.2, 0.75
 
@@ -53,8 +53,9 @@ def entity_list(entity: DataFrame, occurrence: DataFrame, kind: str | None = Non
 
 def unresolved(entity: DataFrame, assertion: DataFrame, limit: int | None = None, offset: int = 0) -> DataFrame:
     """Unresolved entities by how many claims point at them."""
-    n = assertion.groupBy(F.col("target_id").alias("entity_id")).agg(F.count("*").alias("referencing"))
-    out = entity.where(F.col("kind") == "unresolved").join(n, "entity_id", "left").select("entity_id", "scope_path", "name", F.coalesce("referencing", F.lit(0)).alias("referencing"))
+    open_ = checkpointed(entity.where(F.col("kind") == "unresolved").select("entity_id", "scope_path", "name"))
+    n = among(assertion.select(F.col("target_id").alias("entity_id")), open_, "entity_id").groupBy("entity_id").agg(F.count("*").alias("referencing"))
+    out = open_.join(n, "entity_id", "left").select("entity_id", "scope_path", "name", F.coalesce("referencing", F.lit(0)).alias("referencing"))
     out = out.orderBy(F.desc("referencing"), "scope_path", "name", "entity_id")
     return out if limit is None else out.offset(offset).limit(limit)
 

@@ -234,7 +234,7 @@ REPORT = FOUND + f""", s AS (SELECT * FROM {STATE}), ev AS (SELECT assertion_id,
 
 
 def report(m: Model) -> dict[str, DataFrame]:
-    state = claims.derive_state(m.observation, m.assertion, m.entity)
+    state = lambda ids: claims.derive_state(m.observation, m.assertion, m.entity) if ids is None else claims.state_of(m.observation, m.assertion, m.entity, ids)
     order = Window.partitionBy("assertion_id").orderBy("file_path", "start_line", "source_type")
     ev = m.observation.withColumn("at", F.row_number().over(order)).where("at = 1")
     fresh = m.raw("supplier").select(F.concat(F.lit("supp/"), text("s_suppkey")).alias("file_path"), F.when(F.col("s_nationkey") % 2 == 0, "fresh").otherwise("stale").alias("freshness"))
@@ -255,7 +255,8 @@ def a7_impact_report_totals(m: Model) -> DataFrame:
 @query(sql(f"SELECT CASE WHEN contains(split_part(target_id, 'unres_', 2), 'e') THEN 'document_link' ELSE 'uncategorised' END AS category, sum(evidence_count)::BIGINT AS sites FROM {STATE} JOIN assertion USING (assertion_id) WHERE is_unresolved GROUP BY ALL", *EVIDENCE))
 def a6_unresolved_sites(m: Model) -> DataFrame:
     meta = F.when(F.contains("entity_id", F.lit("e")) & (F.col("kind") == "unresolved") & F.contains(F.substring_index("entity_id", "unres_", -1), F.lit("e")), F.lit('{"category":"document_link"}')).otherwise("{")
-    return lookup.unresolved_sites(claims.derive_state(m.observation, m.assertion, m.entity), m.assertion, m.entity.withColumn("meta", meta), [])
+    open_ = claims.unresolved_claims(m.assertion, m.entity)
+    return lookup.unresolved_sites(claims.state_of(m.observation, open_, m.entity, open_.select("assertion_id")), open_, m.entity.withColumn("meta", meta), [])
 
 
 @query("""WITH r AS (SELECT o_orderkey AS run_id, o_orderpriority AS state_id, o_orderstatus FROM orders) SELECT run_id FROM r WHERE state_id = (SELECT arg_max(state_id, run_id) FROM r)""")
